@@ -159,7 +159,7 @@ class Engine:
         prepared = queries.select("query_id", "text")
         if s.preprocessing:
             p = query_prep.best(query_prep.preprocess(prepared))
-            prepared = query_prep.top(p).select("query_id", F.when("multi", F.get("top", F.lit(0))).otherwise(F.col("best")).alias("text"))
+            prepared = query_prep.top(p).select("query_id", F.when(F.col("multi"), F.get("top", F.lit(0))).otherwise(F.col("best")).alias("text"))
         if not s.feedback:
             return self._search(rows, prepared, top, threshold)
         first = self._search(rows, prepared, max(12, 2 * top), 0.8 * threshold)

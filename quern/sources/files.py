@@ -15,27 +15,27 @@ from quern.functions.paths import EXTENSIONS, IGNORE, REMOTE, extension, first_p
 
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """(relative_path, content) of all files below a folder; bytes that are no UTF-8 become replacement signs."""
+    """(relative_path, content) of all files below a folder but hidden ones; bytes that are no UTF-8 become replacement signs."""
     base = folder.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     plain = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
     relative = F.substring(plain, len("/" + base.split(":", 1)[-1].lstrip("/")) + 2, 1 << 30)
-    return files.select(F.url_decode(F.replace(relative, F.lit("+"), F.lit("%2B"))).alias("relative_path"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return files.select(relative.alias("relative_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def read_ignore_files(spark: SparkSession, folder: str) -> list[str]:
-    """The patterns of all files .*ignore at a folder's top; configuration, read on the driver."""
-    out: list[str] = []
-    for r in spark.read.text(f"{folder.rstrip('/')}/.*ignore", wholetext=True).collect() if _has_ignore(spark, folder) else []:
-        out += ignore_patterns([], r.value)
-    return out
-
-
-def _has_ignore(spark: SparkSession, folder: str) -> bool:
+    """The patterns of all files .*ignore at a folder's top: a few lines of configuration, read on the driver (Spark's readers pass hidden files over)."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/.*ignore")
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
-    return found is not None and len(found) > 0
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: list[str] = []
+    for status in sorted(fs.globStatus(p) or [], key=lambda s: s.getPath().getName()):
+        stream = fs.open(status.getPath())
+        try:
+            out += ignore_patterns([], jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+    return list(dict.fromkeys(out))
 
 
 def classified(files: DataFrame, extensions: list[str] = EXTENSIONS, patterns: list[str] = IGNORE) -> DataFrame:
