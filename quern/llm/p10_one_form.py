@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 # Latin, then Cyrillic, then Greek; a blank where a script has none.
 LOOK_ALIKE = """
 a а α|c с ϲ|e е  |i і ι|j ј ϳ|o о ο|p р ρ|s ѕ  |x х  |y у  |h һ  |d ԁ  |q ԛ  |w ԝ  |l ӏ  |v ѵ ν|u  υ|r г  |k  κ
-A А Α|B В Β|C С Ϲ|E Е Ε|H Н Η|I І Ι|J Ј Ϳ|K К Κ|M М Μ|N  Ν|O О Ο|P Р Ρ|S Ѕ  |T Т Τ|X Х Χ|Y Ү Υ|Z  Ζ|G Ԍ  |Q Ԛ  |W Ԝ  |V Ѵ  |ï ї ϊ|ë ё  |Ï Ї Ϊ|Ë Ё  |è ѐ  |ó  ό|í  ί|ÿ  ϋ
+A А Α|B В Β|C С Ϲ|E Е Ε|H Н Η|I І Ι|J Ј Ϳ|K К Κ|M М Μ|N  Ν|O О Ο|P Р Ρ|S Ѕ  |T Т Τ|X Х Χ|Y Ү Υ|Z  Ζ|G Ԍ  |Q Ԛ  |W Ԝ  |V Ѵ  
 """
 #: Not alike enough to be one sign: these stay what they are even in a mixed word of the other script.
 APART = {"r г", "k κ", "u υ", "y ү"}
@@ -43,7 +43,8 @@ def _families() -> dict[str, tuple[str, ...]]:
 
 
 FAMILY = _families()
-WORD = re.compile(r"[^\W\d_]+", re.UNICODE)
+#: Letters with the accents that stand apart behind them.
+WORD = re.compile("(?:[^\\W\\d_][\u0300-\u036f]*)+")
 #: Compatibility forms that look like what they stand for. Raised, lowered, circled and fraction signs read differently.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>", "<small>")
 
@@ -67,7 +68,7 @@ def sign(c: str) -> str:
     if c in QUOTES:
         return '"'
     kind = unicodedata.decomposition(c).split(" ", 1)[0]
-    if kind in SAME_LOOK:
+    if kind in SAME_LOOK and c not in FAMILY:
         plain = unicodedata.normalize("NFKC", c)
         return plain if plain == c else "".join(map(sign, plain))
     return c
@@ -117,12 +118,13 @@ def one_form(text: str) -> str:
         text = "".join(map(sign, text)) if not text.isprintable() else text
         plain = True
     else:
-        text = unicodedata.normalize("NFC", "".join(map(sign, unicodedata.normalize("NFC", text.replace("\r\n", "\n")))))
+        text = unicodedata.normalize("NFC", "".join(map(sign, unicodedata.normalize("NFD", text.replace("\r\n", "\n")))))
         plain = text.isascii()
     text = re.sub(r" +", " ", text)
     if not plain:
+        text = unicodedata.normalize("NFD", text)  # look-alikes are told by their letters; accents go along
         words = WORD.findall(text)
-        if any(own_script(c) != "LATIN" for w in set(words) for c in w):
+        if any(own_script(c) not in ("LATIN", "COMBINING") for w in set(words) for c in w):
             votes = dict.fromkeys(SCRIPTS, 0)
             sets = {w: resolved(w) for w in set(words)}
             for w in words:
@@ -130,7 +132,7 @@ def one_form(text: str) -> str:
                 if s and len(s) == 1 and (one := next(iter(s))) in votes:
                     votes[one] += 1
             text = WORD.sub(lambda m: _word(m[0], sets.get(m[0]), votes), text)
-            text = unicodedata.normalize("NFC", text)
+        text = unicodedata.normalize("NFC", text)
     return text
 
 

@@ -123,7 +123,7 @@ def reason(m: DataFrame) -> Column:
         .when(F.arrays_overlap(dirs, F.array(*map(F.lit, GENERATED_DIRS))), "generated")
         .when(F.col("says_generated"), "generated")
         .when(path.rlike("(?i)" + GENERATED_NAME), "generated")
-        .when(code & (share("long_chars", "chars") > 0.6) & (share("long_blanks", "long_chars") < 0.12), "minified")
+        .when(code & (share("long_chars", "chars") > 0.6) & (share("long_blanks", "long_chars") < 0.15), "minified")
         .when(code & (share("data_chars", "chars") + share("record_chars", "chars") > 0.6), "data")
         .when(code & (F.col("filled") >= 8) & (share("numbered", "filled") > 0.25), "generated")
     )
