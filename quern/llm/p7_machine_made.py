@@ -67,35 +67,48 @@ def header(text: str) -> tuple[bool, bool]:
     return any(map(GENERATED_HEADER.search, top)), any(map(VENDORED_HEADER.search, top))
 
 
-def chunk_rows(chunks: DataFrame) -> DataFrame:
-    """Each distinct chunk once: (relative_path, repo, position, ext, content). Chunks without a path are no file's."""
-    index = F.get_json_object("metadata", "$.chunkIndex").try_cast("long")
-    ext = F.regexp_replace(F.lower(F.coalesce("file_extension", F.lit(""))), r"^\s*\.|\s+$", "")
-    return (
-        chunks.where("relative_path is not null")
-        .groupBy("id", "relative_path")
-        .agg(F.max(F.struct(F.coalesce("content", F.lit("")).alias("content"), "collection_name", F.coalesce("start_line", index).alias("position"), ext.alias("ext"))).alias("r"))
-        .select("relative_path", F.col("r.collection_name").alias("repo"), F.col("r.position").alias("position"), F.col("r.ext").alias("ext"), F.col("r.content").alias("content"))
-    )
+#: A line of at least LINE characters counts, once a chunk.
+LINE = 12
 
 
-def file_measures(rows: DataFrame) -> DataFrame:
-    """One row per file: sums over its chunks, and what its first lines say. Files are never put together: all measures add up."""
+def chunk_measures(chunks: DataFrame) -> DataFrame:
+    """Each distinct chunk once: (relative_path, repo, position, ext, COUNTS, says_generated, says_vendored, hs: hashes of its lines).
+
+    The contents are read and measured in one pass where they lie; what is shuffled to find chunks that come twice is the
+    measures (of copies that disagree, those of the longest content hold). Chunks without a path are no file's.
+    """
+    index = F.get_json_object("metadata", "$.chunkIndex").try_cast("long")
+    lines = f"array_distinct(transform(filter(transform(split(content, '\\n'), x -> trim(x)), x -> length(x) >= {LINE}), x -> xxhash64(x)))"
+    rows = chunks.where("relative_path is not null").select(
+        "id",
+        "relative_path",
+        F.col("collection_name").alias("repo"),
+        F.coalesce(F.col("start_line").cast("long"), index, F.lit(1 << 40)).alias("position"),
+        F.regexp_replace(F.lower(F.coalesce("file_extension", F.lit(""))), r"^\s*\.|\s+$", "").alias("ext"),
+        F.coalesce("content", F.lit("")).alias("content"),
+    )
+    rows = rows.withColumn("hs", F.expr(lines))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             out = pd.DataFrame([(*measures(c), *header(c)) for c in p.content], columns=[*COUNTS, "says_generated", "says_vendored"])
-            yield pd.concat([p[["relative_path", "repo", "position", "ext"]].reset_index(drop=True), out], axis=1)
+            yield pd.concat([p[["id", "relative_path", "repo", "position", "ext"]].reset_index(drop=True), out, p[["hs"]].reset_index(drop=True)], axis=1)
 
-    schema = "relative_path string, repo string, position long, ext string, " + ", ".join(f"{c} long" for c in COUNTS) + ", says_generated boolean, says_vendored boolean"
+    counts = ", ".join(f"{c} long" for c in COUNTS)
+    measured = rows.mapInPandas(run, f"id string, relative_path string, repo string, position long, ext string, {counts}, says_generated boolean, says_vendored boolean, hs array<long>")
+    rest = [*COUNTS, "repo", "position", "ext", "says_generated", "says_vendored", "hs"]
+    return measured.groupBy("id", "relative_path").agg(F.max(F.struct(*rest)).alias("r")).select("relative_path", "r.*")
+
+
+def file_measures(rows: DataFrame) -> DataFrame:
+    """One row per file: sums over its chunks, and what its first lines say. Files are never put together: all measures add up."""
     return (
-        rows.mapInPandas(run, schema)
-        .groupBy("relative_path")
+        rows.groupBy("relative_path")
         .agg(
             F.min("repo").alias("repo"),
             F.max(F.when(F.col("ext") != "", F.col("ext"))).alias("ext"),
             *[F.sum(c).alias(c) for c in COUNTS],
-            F.min(F.struct(F.coalesce("position", F.lit(1 << 40)).alias("position"), "says_generated", "says_vendored")).alias("first"),
+            F.min(F.struct("position", "says_generated", "says_vendored")).alias("first"),
         )
         .select(
             "relative_path",
@@ -109,7 +122,7 @@ def file_measures(rows: DataFrame) -> DataFrame:
     )
 
 
-def reason(m: DataFrame) -> Column:
+def reason() -> Column:
     """What a file's name, first lines and composition of tokens say; null for hand-written ones."""
     path, name = F.col("relative_path"), F.regexp_extract("relative_path", r"[^/]*$", 0)
     dirs = F.split(F.regexp_replace(path, r"/?[^/]*$", ""), "/")
@@ -129,58 +142,66 @@ def reason(m: DataFrame) -> Column:
     )
 
 
-#: A line of at least LINE characters counts; one found in more than RARE different texts points to none of them.
-LINE, RARE, CONTAINED, LEAST_LINES = 12, 50, 0.8, 5
+#: A vendored line in more than RARE different texts points to none of them.
+RARE, CONTAINED, LEAST_LINES = 50, 0.8, 5
+#: Distinct vendored lines up to this number (8 bytes each) are sent to all tasks; more are matched by shuffle.
+BROADCAST_LINES = 500_000
 
 
-def vendored_edits(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """(relative_path, origin, containment): files that nothing marks, most of whose lines are in a marked file of another repository.
+def vendored_edits(hashed: DataFrame, known: DataFrame) -> DataFrame:
+    """(relative_path, origin, containment): files that nothing marks, most of whose lines are in a vendored file of another repository.
 
-    known: (relative_path, repo, why) of all files. Files of equal lines are one class, so that a copied file, however
-    often, counts once in the index; then the rare line hashes (in at most RARE classes) tell which unmarked and
-    marked classes may be related, and for these the share of the unmarked one's lines that the other has is counted
-    over all their lines, rare or not. A class in which an unmarked file has a marked one of another repository is contained whole.
+    hashed: (relative_path, hs) of all chunks; known: (relative_path, repo, why) of all files. Files of equal lines are one class (by count, sum and exclusive or of the line
+    hashes, which add up over chunks), so that a copied file, however often, counts once on either side. The vendored classes'
+    lines are the inverted index. Of the others' lines only those in it are kept; a class of which less than CONTAINED are, is
+    no copy, whatever it is compared with. For the few that remain, rare lines (in at most RARE vendored classes) name the vendored
+    classes they may come from, and for these pairs the shared lines are counted, rare or not. A class that holds
+    an unmarked file and a vendored one of another repository is contained whole.
     """
-    hashes = rows.select("relative_path", F.expr(f"array_distinct(transform(filter(transform(split(content, '\\n'), x -> trim(x)), x -> length(x) >= {LINE}), x -> xxhash64(x)))").alias("hs"))
-    lines = staged(hashes.select("relative_path", F.explode("hs").alias("h")).distinct())
+    sums = hashed.select(
+        "relative_path",
+        F.size("hs").alias("n"),
+        F.expr("aggregate(hs, 0L, (s, h) -> s + (h & 4294967295))").alias("s"),
+        F.expr("aggregate(hs, 0L, (s, h) -> s ^ h)").alias("x"),
+    )
     files = (
-        lines.groupBy("relative_path")
-        .agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.bit_xor("h").alias("x"))
+        sums.groupBy("relative_path")
+        .agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"))
         .where(F.col("n") >= LEAST_LINES)
-        .join(known, "relative_path")
-        .withColumn("marked", F.coalesce(F.col("why") == "vendored", F.lit(False)))
-        .select("relative_path", "repo", "n", "marked", F.when(F.col("marked") | F.col("why").isNull(), True).alias("used"), F.xxhash64("n", "s", "x").alias("class"))
-        .where("used")
+        .join(known.where("why is null or why = 'vendored'"), "relative_path")
+        .select("relative_path", "repo", "n", F.col("why").isNotNull().alias("marked"), F.xxhash64("n", "s", "x").alias("class"))
     )
     files = staged(files)
-    # a class's marked and unmarked repositories: enough to tell whether the other side is another repository
     classes = files.groupBy("class").agg(
-        F.min("relative_path").alias("rep"), F.first("n").alias("n"), F.max("marked").alias("has_marked"), F.max(~F.col("marked")).alias("has_unmarked"),
+        F.max("n").alias("n"),
         F.min(F.when(F.col("marked"), F.col("relative_path"))).alias("origin"),
+        F.min(F.when(~F.col("marked"), F.col("relative_path"))).alias("other"),
+        # enough to tell whether the vendored side is another repository
         F.min(F.when(F.col("marked"), F.col("repo"))).alias("first_repo"), F.max(F.when(F.col("marked"), F.col("repo"))).alias("last_repo"),
     )
-    by_class = staged(lines.join(classes.select(F.col("rep").alias("relative_path"), "class", "has_marked", "has_unmarked"), "relative_path").drop("relative_path"))
-    rare = by_class.groupBy("h").agg(F.count("*").alias("df"), F.max("has_marked").alias("m"), F.max("has_unmarked").alias("u")).where(f"df <= {RARE} and df > 1 and m and u").select("h")
-    posted = by_class.join(rare, "h", "left_semi")
-    pairs = (
-        posted.where("has_unmarked").select("h", F.col("class").alias("a"))
-        .join(posted.where("has_marked").select("h", F.col("class").alias("b")), "h")
-        .where("a <> b").select("a", "b").distinct()
+    classes = staged(classes)
+    index = staged(
+        hashed.join(classes.where("origin is not null").select(F.col("origin").alias("relative_path"), F.col("class").alias("b")), "relative_path")
+        .select("b", F.explode("hs").alias("h"))
     )
+    lines = staged(index.groupBy("h").agg(F.count("*").alias("df")))
+    asked = hashed.join(classes.where("origin is null").select(F.col("other").alias("relative_path"), F.col("class").alias("a"), "n"), "relative_path").select("a", "n", F.explode("hs").alias("h"))
+    wanted = F.broadcast(lines.select("h")) if lines.count() <= BROADCAST_LINES else lines.select("h")
+    matched = staged(asked.join(wanted, "h", "left_semi"))
+    enough = matched.groupBy("a").agg(F.count("*").alias("m"), F.max("n").alias("n")).where(F.col("m") >= CONTAINED * F.col("n")).select("a")
+    mine = staged(matched.join(enough, "a", "left_semi").select("a", "n", "h"))
+    pairs = mine.join(lines.where(F.col("df") <= RARE), "h", "left_semi").join(index, "h").select("a", "b").distinct()
     shared = (
-        pairs.join(by_class.select(F.col("class").alias("a"), "h"), "a")
-        .join(by_class.select(F.col("class").alias("b"), "h"), ["b", "h"])
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("shared"))
-    )
-    whole = classes.where("has_marked and has_unmarked").select(F.col("class").alias("a"), F.col("class").alias("b"), F.col("n").alias("shared"))
-    sizes = classes.select(F.col("class").alias("a"), "n")
-    origins = classes.where("has_marked").select(F.col("class").alias("b"), "origin", "first_repo", "last_repo")
-    found = shared.unionByName(whole).join(sizes, "a").where(F.col("shared") >= CONTAINED * F.col("n")).join(origins, "b")
-    other = (F.col("first_repo") != F.col("repo")) | (F.col("last_repo") != F.col("repo"))
+        pairs.join(mine, "a").join(index, ["b", "h"])
+        .groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
+        .where(F.col("shared") >= CONTAINED * F.col("n"))
+    )
+    whole = classes.where("origin is not null and other is not null").select(F.col("class").alias("a"), F.col("class").alias("b"), F.col("n").alias("shared"), "n")
+    origins = classes.where("origin is not null").select(F.col("class").alias("b"), "origin", "first_repo", "last_repo")
+    elsewhere = (F.col("first_repo") != F.col("repo")) | (F.col("last_repo") != F.col("repo"))
     return (
         files.where(~F.col("marked")).select("relative_path", "repo", F.col("class").alias("a"))
-        .join(found, "a").where(other)
+        .join(shared.unionByName(whole).join(origins, "b"), "a").where(elsewhere)
         .groupBy("relative_path")
         .agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("containment"), "origin")).alias("r"))
         .select("relative_path", "r.origin", F.round("r.containment", 6).alias("containment"))
@@ -192,12 +213,11 @@ def machine_made(chunks: DataFrame) -> DataFrame:
 
     A file's measures are sums over its distinct chunks, its first lines those of the chunk with the smallest start_line (without
     one, chunkIndex). Null contents count as empty; chunks that come twice once; rows without a path belong to no file; broken
-    metadata and extensions are passed over. Two passes over the contents: one for measures, one for line hashes.
+    metadata and extensions are passed over. The contents are read once.
     """
-    rows = chunk_rows(chunks)
-    measured = file_measures(rows)
-    known = staged(measured.select("relative_path", "repo", "ext", reason(measured).alias("why")))
-    edits = vendored_edits(rows, known.select("relative_path", "repo", "why")).select("relative_path", "origin", "containment")
+    rows = staged(chunk_measures(chunks))
+    known = staged(file_measures(rows).withColumn("why", reason()).select("relative_path", "repo", "why"))
+    edits = vendored_edits(rows.select("relative_path", "hs"), known)
     return known.join(edits, "relative_path", "left").select(
         "relative_path", "repo", F.coalesce("why", F.when(F.col("origin").isNotNull(), F.lit("vendored"))).alias("why"), "origin", "containment"
     )
