@@ -134,7 +134,7 @@ SECRET = frozenset(
     "password passwd pwd pass passphrase passwort passcode clave contrasena kennwort secret secrets token apikey credential credentials "
     "auth authorization bearer dsn pin tok pw".split()
 )
-KEY_OF = frozenset("api access account master encryption private secret license signing shared storage service deploy webhook hmac ssh app client".split())
+KEY_OF = frozenset("api access account master encryption private secret license signing shared storage service deploy webhook hmac ssh app client salt seed refresh root session jwt".split())
 NOT_IT = frozenset(
     "hint label field type header name names help prompt length len count size url uri path file dir env var regex pattern policy ttl expiry expires "
     "id ids placeholder title text message error field column param kind format max min limit index rules store manager provider".split()
