@@ -10,14 +10,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.paths import file_weight
+from quern.operators.distributed_rank import rank_values
+
+
+def list_ranks(scored: DataFrame, groups: list[str], item: str = "id") -> DataFrame:
+    """scored (groups, item, score, ...) with `rank` from 1 in its group: the larger score first, ties by item. Groups may have any size."""
+    keyed = scored.withColumn("_key", F.struct((-F.col("score")).alias("s"), F.col(item).alias("i")))
+    places = rank_values(keyed, groups, "_key").select(*groups, F.col("_key.i").alias(item), (F.col("n_before") + 1).cast("int").alias("rank"))
+    return scored.join(places, [*groups, item])
 
 
 def reciprocal_ranks(lists: DataFrame, k: int = 60, most: int | None = None) -> DataFrame:
-    """(query_id, id, score, rank) of lists (query_id, list_no, id, rank): the sum of 1 / (k + rank), ties by id."""
+    """(query_id, id, score, rank) of lists (query_id, list_no, id, rank): the sum of 1 / (k + rank), ties by id.
+
+    With `most` each task keeps at most so many of a query before the shuffle; the whole order is made by distributed ranks.
+    """
     fused = lists.groupBy("query_id", "id").agg(F.round(F.sum(1 / (F.lit(float(k)) + F.col("rank"))), 9).alias("score"))
+    if most is None:
+        return list_ranks(fused, ["query_id"]).select("query_id", "id", "score", "rank")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = fused.withColumn("rank", F.row_number().over(w))
-    return ranked if most is None else ranked.where(F.col("rank") <= most)
+    return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
 def weighted_scores(lists: DataFrame, weight: Column | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from quern.functions.text import trim_all
 from quern.operators import bm25, chunking, dense, embedding, filters, fusion, prf, sync
 from quern.operators.catalog import Store
 from quern.sources import files as sources
+from quern.staging import staged
 
 
 def results_of(found: DataFrame, rows: DataFrame) -> DataFrame:
@@ -131,8 +132,6 @@ class Engine:
             for p in only:
                 under = under | (F.col("relative_path") == p) | F.col("relative_path").startswith(p.rstrip("/") + "/")
             differences = differences.where(under)
-        from quern.staging import staged
-
         differences = staged(differences)
         counts = {r["change"]: r["count"] for r in differences.groupBy("change").count().collect()}
         if counts:
@@ -162,7 +161,7 @@ class Engine:
             prepared = query_prep.top(p).select("query_id", F.when(F.col("multi"), F.get("top", F.lit(0))).otherwise(F.col("best")).alias("text"))
         if not s.feedback:
             return self._search(rows, prepared, top, threshold)
-        first = self._search(rows, prepared, max(12, 2 * top), 0.8 * threshold)
+        first = staged(self._search(rows, prepared, max(12, 2 * top), 0.8 * threshold))  # read three times
         expanded = prf.expand(prepared, first.select("query_id", F.col("rank").alias("doc"), "content"))
         again = expanded.where(F.size("terms") > 0).select("query_id", F.col("expanded").alias("text"))
         second = self._search(rows, again, top, threshold)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import paths, query_prep
@@ -29,7 +28,7 @@ def _lists(spark: SparkSession, d: str) -> DataFrame:
     s = F.when(F.col("metric") == "L2", -F.col("score")).otherwise(F.col("score"))
     finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
     once = table(spark, d, "ranked").where(finite).groupBy("query_id", "list_no", "metric", "id").agg(F.max(s).alias("score"))
-    return once.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "list_no").orderBy(F.desc("score"), "id")))
+    return fusion.list_ranks(once, ["query_id", "list_no"])
 
 
 def flagship_hybrid_search(spark, d):
