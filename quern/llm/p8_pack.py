@@ -63,7 +63,8 @@ def curve_keys(documents: DataFrame, ranks: str = RANKS) -> DataFrame:
     """(doc_id, n_tokens, place): the size of each distinct doc_id and its place on the curve. Whole texts are tokenized, once.
 
     The sums are spread evenly over the cube by the normal distribution's logistic approximation. A doc_id that comes twice counts
-    once (the larger text holds); rows without doc_id are none; null and empty texts have 0 tokens.
+    once (that with more tokens holds); rows without doc_id are none; null and empty texts have 0 tokens. Texts stay where they
+    are read; only sizes and places are shuffled.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,8 +77,8 @@ def curve_keys(documents: DataFrame, ranks: str = RANKS) -> DataFrame:
                 cell = np.clip(1 / (1 + np.exp(-1.702 * np.stack(rows))), 0, 1 - 1e-9) * (1 << BITS)
                 yield pd.DataFrame({"doc_id": p.doc_id, "n_tokens": sizes, "place": hilbert(cell.astype(np.int64))})
 
-    once = documents.where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
-    return once.mapInPandas(run, "doc_id long, n_tokens long, place long")
+    sized = documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, place long")
+    return sized.groupBy("doc_id").agg(F.max(F.struct("n_tokens", "place")).alias("r")).select("doc_id", "r.n_tokens", "r.place")
 
 
 class Packer:
