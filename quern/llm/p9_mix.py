@@ -29,24 +29,23 @@ def mixture(documents: DataFrame, mix: DataFrame, total: int | None = None, rank
     Of source s with T tokens and weight w, w * total tokens are wanted: each document floor(w * total / T) times, and once more those
     whose hash lies below the source's threshold. Without `total` the largest is taken that all sources can fill within their
     max_repeats. A source that cannot fill its share gives all it may, and the shares say so. The threshold comes
-    within half a document (the last one is taken if that is nearer). doc_ids that come twice count once (the larger text holds);
+    within half a document (the last one is taken if that is nearer). doc_ids that come twice count once (that with more tokens holds);
     documents without doc_id, without source or of a source without a target are not used.
 
     The token sums by source and the first hash bits (4096 buckets a source, summed before the shuffle) show in which bucket each
     threshold lies; only that bucket is summed again by the next bits. Nothing is sorted, and a hot source is spread over all tasks.
-    The documents are tokenized once; the driver sees a few numbers per source of the target table.
+    The documents are tokenized once, where they are read; the driver sees a few numbers per source of the target table.
     """
     goal = targets(mix)
+    sizes = with_tokens(
+        documents.where("doc_id is not null and source is not null").join(F.broadcast(goal.select("source")), "source", "left_semi"),  # one row per source of the target table
+        ["doc_id", "source"],
+        ranks=ranks,
+    )
     sized = staged(
-        with_tokens(
-            documents.where("doc_id is not null and source is not null")
-            .join(F.broadcast(goal.select("source")), "source", "left_semi")  # one row per source of the target table
-            .groupBy("doc_id")
-            .agg(F.max(F.struct("text", "source")).alias("r"))
-            .select("doc_id", "r.source", "r.text"),
-            ["doc_id", "source"],
-            ranks=ranks,
-        ).withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(29)), 4))
+        sizes.groupBy("doc_id")
+        .agg(F.max(F.struct("n_tokens", "source")).alias("r"))
+        .select("doc_id", "r.source", "r.n_tokens", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(29)), 4).alias("h"))
     )
     wanted = {r.source: (r.weight, r.max_repeats) for r in goal.collect()}
     have = {r.source: int(r.t) for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect() if r.t}
