@@ -49,7 +49,7 @@ def dense_threshold(spark, d):
 
 
 def dense_filtered(spark, d):
-    used = _rows(spark, d).where("file_extension in ('.ts', '.py') and start_line < 50").select("id")
+    used = table(spark, d, "chunks").where("file_extension in ('.ts', '.py') and start_line < 50").select("id")
     return dense.top_k(_vectors(spark, d).join(used, "id", "left_semi"), table(spark, d, "queries"), 5)
 
 
@@ -107,7 +107,8 @@ def result_previews(spark, d):
 
 def filter_expression(spark, d):
     e = "fileExtension in ['.ts', '.py'] and (startLine < 40 or endLine >= 200) and not relativePath like '%test%'"
-    return catalog.select_rows(_rows(spark, d), e, ["id", "relative_path", "start_line", "end_line"])
+    used = catalog.select_rows(table(spark, d, "chunks"), e, ["id", "relative_path", "start_line", "end_line"])  # before rows are made distinct: the filter reaches the scan
+    return distinct_rows(used)
 
 
 def filter_default_limit(spark, d):
