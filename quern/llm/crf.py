@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
+
 import numpy as np
 
+#: Contexts whose scores a process keeps.
+KEPT = 200_000
+
 
 class LinearChain:
     """weights: feature -> one number per label; transitions: label x label; start: one per label."""
@@ -11,19 +16,42 @@ class LinearChain:
     def __init__(self, labels: tuple[str, ...], weights: dict[str, list[float]], transitions: np.ndarray, start: np.ndarray):
         self.labels, self.weights = labels, weights
         self.transitions, self.start = transitions.tolist(), start.tolist()
+        self.kept: dict[Hashable, list[float]] = {}
+        # What a token that is not labelled 0 can gain at most by the start and by the steps to it and from it, against all being 0.
+        gain = max(0.0, float((transitions - transitions[0, 0]).max()))
+        self.gain = 2 * gain + max(0.0, float((start - start[0]).max())) + 1e-6
+
+    def scores(self, features: list[str]) -> list[float]:
+        """What a token's features say for each label."""
+        e = [0.0] * len(self.labels)
+        for f in features:
+            if (w := self.weights.get(f)) is not None:
+                for k in range(len(e)):
+                    e[k] += w[k]
+        return e
+
+    def kept_scores(self, context: Hashable, described: Callable[[Hashable], list[str]]) -> list[float]:
+        """The scores of described(context), computed once; at most KEPT contexts are kept at a time."""
+        if (e := self.kept.get(context)) is None:
+            if len(self.kept) >= KEPT:
+                self.kept.clear()
+            e = self.kept[context] = self.scores(described(context))
+        return e
 
     def decode(self, sequence: list[list[str]], allowed: list[bool]) -> list[int]:
         """The most likely labels; a token that is not allowed is labelled 0."""
-        get, n = self.weights.get, len(self.labels)
+        return self.viterbi([self.scores(fs) for fs in sequence], allowed)
+
+    def viterbi(self, scored: list[list[float]], allowed: list[bool]) -> list[int]:
+        """The most likely labels by the scores of each token; where no allowed token can make up for what it loses against 0, all are 0."""
+        if all(max(e[1:]) - e[0] + self.gain < 0 for e, ok in zip(scored, allowed, strict=True) if ok):
+            return [0] * len(scored)
+        n = len(self.labels)
         best: list[float] = []
         back: list[list[int]] = []
-        for features, ok in zip(sequence, allowed, strict=True):
-            e = [0.0] * n
-            for f in features:
-                if (w := get(f)) is not None:
-                    for k in range(n):
-                        e[k] += w[k]
+        for e, ok in zip(scored, allowed, strict=True):
             if not ok:
+                e = e[:]
                 e[1:] = [-1e9] * (n - 1)
             if not best:
                 best = [self.start[k] + e[k] for k in range(n)]

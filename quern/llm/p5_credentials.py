@@ -24,11 +24,6 @@ LABELS = ("O", "B", "I")
 PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]+?)-----")
 PEM_LINE = re.compile(r"^[\s/#*;'\"+.]*?([A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]+={1,2}|[A-Za-z0-9+/]{4,})(?:\\n)?['\"]?[\s;,+.]*$")
 PEM_END = re.compile(r"-----END ")
-#: Only lines with one of these can hold a token that may be labelled as a credential.
-GATE = re.compile(
-    r"(?i)pass|pwd|secret|token|key|cred|auth|bearer|basic|login|clave|contrase|kennwort|://|-----BEGIN|\s-u\s|dsn|pin\b"
-    r"|(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z_.+/\-]{0,200}\d)[A-Za-z0-9+/_.\-]{16,}"
-)
 TOKEN = re.compile(
     r"""(?P<uri>[A-Za-z][A-Za-z0-9+.\-]*://[^\s"'`<>]+)
     |(?P<string>"(?:[^"\\]|\\.)*"|(?<![A-Za-z0-9])'(?:[^'\\]|\\.)*'|`[^`]*`)
@@ -99,7 +94,7 @@ def value(text: str, at: int, kind: str) -> list[Token]:
 
 
 def sequences(content: str) -> Iterator[tuple[int, list[Token]]]:
-    """(line number from 1, tokens) of each line that can hold a credential; a key block of several lines is one sequence."""
+    """(line number from 1, tokens) of each line that is not blank; a key block of several lines is one sequence."""
     lines = content.split("\n")
     start, i = 0, 0
     starts = []
@@ -117,13 +112,12 @@ def sequences(content: str) -> Iterator[tuple[int, list[Token]]]:
             yield i + 1, tokens
             i = max(j, i + 1)
             continue
-        if GATE.search(line):
-            if m and (e := PEM_END.search(line, m.end())):
-                close = line.find("-----", e.end())
-                end = close + 5 if close >= 0 else len(line)
-                yield i + 1, [Token(starts[i] + m.start(), starts[i] + end, line[m.start() : end], "pem")]
-            elif tokens := lex(line, starts[i]):
-                yield i + 1, tokens
+        if m and (e := PEM_END.search(line, m.end())):
+            close = line.find("-----", e.end())
+            end = close + 5 if close >= 0 else len(line)
+            yield i + 1, [Token(starts[i] + m.start(), starts[i] + end, line[m.start() : end], "pem")]
+        elif tokens := lex(line, starts[i]):
+            yield i + 1, tokens
         i += 1
 
 
@@ -247,44 +241,96 @@ def _mixed(v: str) -> bool:
     return turns >= 0.35 * (len(v) - 1)
 
 
+class Context(NamedTuple):
+    """All that a token's features are made of. Few are unlike, so that what follows from one is worth keeping."""
+
+    kind: str
+    shape: str
+    key: str
+    before: str
+    last: str
+    near: str
+    flag: str
+    call: str
+    arg: int
+    login: bool
+    comment: bool
+    next_kind: str
+    next_mark: str
+    body: bool | None
+    long: bool
+
+
+def described(c: Context) -> list[str]:
+    """The features of a token in its context."""
+    kind, s, k = c.kind, c.shape, c.key
+    fs = [
+        "1",
+        f"kind={kind}",
+        f"shape={s}",
+        f"key={k}",
+        f"{kind}|{s}",
+        f"{kind}|{k}|{s}",
+        f"{k}|{s}",
+        f"{c.last}|{s}",
+        f"{c.before}|{c.last}|{s}",
+        f"near={c.near}|{c.last}|{s}",
+        f"flag={c.flag}|{s}",
+        f"call={c.call}|{c.arg}|{k}|{s}",
+        f"login={c.login}|{c.last}|{s}",
+        f"comment={c.comment}|{k}|{c.last}",
+        f"next={c.next_kind}|{kind}",
+        f"{kind}|{c.comment}|{c.next_mark}|{s}",
+    ]
+    if c.body is not None:
+        fs.append(f"{s}|body={c.body}")
+    if c.long:
+        fs.append(f"long|{k}|{kind}")
+    return fs
+
+
+@lru_cache(maxsize=50_000)
+def call_class(callee: str) -> str:
+    return "env" if re.search(r"(?i)env|getenv|vault|config\.get|lookup|fetch", callee) else "login" if re.search(r"(?i)login|connect|auth|sign_?in", callee) else "call" if callee else "none"
+
+
 def features(tokens: list[Token], comment: bool) -> tuple[list[list[str]], list[bool]]:
     """For each token its features, and whether it may be (part of) a credential."""
+    found, allowed = contexts(tokens, comment)
+    return [described(c) for c in found], allowed
+
+
+def contexts(tokens: list[Token], comment: bool) -> tuple[list[Context], list[bool]]:
+    """For each token its context, and whether it may be (part of) a credential."""
     out, allowed = [], []
     key, last, callee, arg, flag = "", "", "", 0, ""
     said = 0  # tokens since a word that speaks of a secret
     login = False
-    has_body = sum(t.kind == "body" for t in tokens)
+    has_body = any(t.kind == "body" for t in tokens)
     previous = ["^", "^"]
     for i, t in enumerate(tokens):
         text, kind = t.text, t.kind
         s = shape(text) if kind not in ("op", "punct", "hole", "body") else kind
-        k = name_class(key) if key else "none"
         nxt = tokens[i + 1] if i + 1 < len(tokens) else None
-        call = "env" if re.search(r"(?i)env|getenv|vault|config\.get|lookup|fetch", callee) else "login" if re.search(r"(?i)login|connect|auth|sign_?in", callee) else "call" if callee else "none"
-        near = "said" if 0 < said <= 5 else "none"
-        fs = [
-            "1",
-            f"kind={kind}",
-            f"shape={s}",
-            f"key={k}",
-            f"{kind}|{s}",
-            f"{kind}|{k}|{s}",
-            f"{k}|{s}",
-            f"{previous[-1]}|{s}",
-            f"{previous[-2]}|{previous[-1]}|{s}",
-            f"near={near}|{previous[-1]}|{s}",
-            f"flag={name_class(flag.lstrip('-')) if flag else 'none'}|{s}",
-            f"call={call}|{min(arg, 2)}|{k}|{s}",
-            f"login={login}|{previous[-1]}|{s}",
-            f"comment={comment}|{k}|{previous[-1]}",
-            f"next={nxt.kind if nxt else '$'}|{kind}",
-            f"{kind}|{comment}|{nxt.text if nxt and nxt.kind in ('punct', 'op') else nxt.kind if nxt else '$'}|{s}",
-        ]
-        if kind in ("pem", "body"):
-            fs.append(f"{s}|body={has_body > 0 or 'END' in text or len(text) > 120}")
-        if len(text) > 6:
-            fs.append(f"long|{k}|{kind}")
-        out.append(fs)
+        out.append(
+            Context(
+                kind,
+                s,
+                name_class(key) if key else "none",
+                previous[-2],
+                previous[-1],
+                "said" if 0 < said <= 5 else "none",
+                name_class(flag.lstrip("-")) if flag else "none",
+                call_class(callee),
+                min(arg, 2),
+                login,
+                comment,
+                nxt.kind if nxt else "$",
+                nxt.text if nxt and nxt.kind in ("punct", "op") else nxt.kind if nxt else "$",
+                has_body or "END" in text or len(text) > 120 if kind in ("pem", "body") else None,
+                len(text) > 6,
+            )
+        )
         allowed.append(kind in ("pem", "body") or (kind in ("string", "config", "word", "prose", "pass", "dsn") and len(text) >= 4 and s not in ("hole", "mask", "empty")))
         # what the following tokens see
         low = text.lower()
@@ -537,10 +583,10 @@ def spans(content: str, field: LinearChain) -> list[tuple[int, int, int, str]]:
         begin = tokens[0].start
         line_start = content.rfind("\n", 0, begin) + 1
         line_end = content.find("\n", begin)
-        fs, allowed = features(tokens, bool(COMMENT.match(content[line_start : line_end if line_end >= 0 else len(content)])))
+        found_in, allowed = contexts(tokens, bool(COMMENT.match(content[line_start : line_end if line_end >= 0 else len(content)])))
         if not any(allowed):
             continue
-        labels = field.decode(fs, allowed)
+        labels = field.viterbi([field.kept_scores(c, described) for c in found_in], allowed)
         for t, y in zip(tokens, labels, strict=True):
             if y == 1:
                 if t.kind == "pem" and (m := PEM_BEGIN.search(t.text)):

@@ -131,3 +131,27 @@ def test_redaction_over_frames(spark):
     first = p5_credentials.find_credentials(df).select("id", F.col("redacted").alias("content"))
     again = p5_credentials.find_credentials(first).first()
     assert again.credentials == [] or all(c.kind in ("key block", "body") for c in again.credentials)
+
+
+def test_lines_without_a_telling_word_are_read():
+    field = p5_credentials.model()
+    told = {
+        "cursor_db_pw: rapidJournal!dispatch": "rapidJournal!dispatch",
+        "// old pw: bxRMcqiHxZEh": "bxRMcqiHxZEh",
+        '\tdbPwProd := "scan#rapid19"': "scan#rapid19",
+        'pool.signIn("mira", "lompa#Tark88")': "lompa#Tark88",
+        'client.connect("tarko", "Wodi-krelu7713");': "Wodi-krelu7713",
+    }
+    for line, word in told.items():
+        assert [line[a:b] for _, a, b, _ in p5_credentials.spans(line, field)] == [word], line
+    for line in ("for x in range(10):", "  return sum(values)", "import os", "   ", "box.resize(width, 400)"):
+        assert not p5_credentials.spans(line, field), line
+
+
+def test_kept_scores_label_as_the_features_do():
+    field = p5_credentials.model()
+    for line in p5_credentials.training_lines(300, seed=41):
+        tokens, _, comment = p5_credentials._labelled(line)
+        found, allowed = p5_credentials.contexts(tokens, comment)
+        kept = field.viterbi([field.kept_scores(c, p5_credentials.described) for c in found], allowed)
+        assert kept == field.decode(p5_credentials.features(tokens, comment)[0], allowed)
