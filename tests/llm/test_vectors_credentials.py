@@ -61,6 +61,22 @@ def test_nearest_recall_and_form(vectors):
     assert p4_similar.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_keeps_its_recall_when_there_are_many(spark):
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x)
+    rows = []
+    for i in range(60):
+        centre = unit(rng.normal(size=64))
+        rows.append((f"c{i:02d}", centre.tolist()))
+        for j in range(5):  # as far off as the fifth neighbour of 600,000 evenly spread vectors
+            across = rng.normal(size=64)
+            across = unit(across - (across @ centre) * centre)
+            rows.append((f"c{i:02d}n{j}", (0.5 * centre + math.sqrt(0.75) * across).tolist()))
+    classes, _ = p4_similar.unit_classes(spark.createDataFrame(rows, "id string, vector array<float>"))
+    found = p4_similar.nearest_classes(classes, 600_000, block=64).where("length(a) = 3 and b like concat(a, '%')").count()
+    assert found >= 0.9 * 300
+
+
 def test_field_learns_and_decodes():
     sequences = [[["a"], ["b"]], [["b"], ["a"]], [["a"], ["a"]]] * 5
     gold = [[1 if t == ["a"] else 0 for t in s] for s in sequences]
