@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.staging import staged
@@ -142,8 +143,7 @@ def reason() -> Column:
     )
 
 
-#: A vendored line in more than RARE different texts points to none of them.
-RARE, CONTAINED, LEAST_LINES = 50, 0.8, 5
+CONTAINED, LEAST_LINES = 0.8, 5
 #: Distinct vendored lines up to this number (8 bytes each) are sent to all tasks; more are matched by shuffle.
 BROADCAST_LINES = 500_000
 
@@ -154,9 +154,10 @@ def vendored_edits(hashed: DataFrame, known: DataFrame) -> DataFrame:
     hashed: (relative_path, hs) of all chunks; known: (relative_path, repo, why) of all files. Files of equal lines are one class (by count, sum and exclusive or of the line
     hashes, which add up over chunks), so that a copied file, however often, counts once on either side. The vendored classes'
     lines are the inverted index. Of the others' lines only those in it are kept; a class of which less than CONTAINED are, is
-    no copy, whatever it is compared with. For the few that remain, rare lines (in at most RARE vendored classes) name the vendored
-    classes they may come from, and for these pairs the shared lines are counted, rare or not. A class that holds
-    an unmarked file and a vendored one of another repository is contained whole.
+    no copy, whatever it is compared with. For the few that remain, the rarest lines name the vendored classes they may come from: those
+    in no vendored class first, then by the number of these, until they are more than a copy may have of its own (so that none can lack
+    them all, however many classes share them). For these pairs the shared lines are counted, rare or not: an asking class's once for each of
+    its chunks, as in n. A class that holds an unmarked file and a vendored one of another repository is contained whole.
     """
     sums = hashed.select(
         "relative_path",
@@ -182,18 +183,22 @@ def vendored_edits(hashed: DataFrame, known: DataFrame) -> DataFrame:
     classes = staged(classes)
     index = staged(
         hashed.join(classes.where("origin is not null").select(F.col("origin").alias("relative_path"), F.col("class").alias("b")), "relative_path")
-        .select("b", F.explode("hs").alias("h"))
+        .select("b", F.explode("hs").alias("h")).distinct()
     )
     lines = staged(index.groupBy("h").agg(F.count("*").alias("df")))
     asked = hashed.join(classes.where("origin is null").select(F.col("other").alias("relative_path"), F.col("class").alias("a"), "n"), "relative_path").select("a", "n", F.explode("hs").alias("h"))
     wanted = F.broadcast(lines.select("h")) if lines.count() <= BROADCAST_LINES else lines.select("h")
     matched = staged(asked.join(wanted, "h", "left_semi"))
     enough = matched.groupBy("a").agg(F.count("*").alias("m"), F.max("n").alias("n")).where(F.col("m") >= CONTAINED * F.col("n")).select("a")
-    mine = staged(matched.join(enough, "a", "left_semi").select("a", "n", "h"))
-    pairs = mine.join(lines.where(F.col("df") <= RARE), "h", "left_semi").join(index, "h").select("a", "b").distinct()
+    mine = staged(matched.join(enough, "a", "left_semi").groupBy("a", "n", "h").agg(F.count("*").alias("times")).join(lines, "h"))
+    own = W.partitionBy("a")
+    rarer = F.coalesce(F.sum("times").over(own.orderBy("df", "h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # more than n - m + rarer lines are read with this one; a copy may lack (1 - CONTAINED) n
+    telling = mine.withColumn("m", F.sum("times").over(own)).withColumn("rarer", rarer).where(F.col("n") - F.col("m") + F.col("rarer") <= (1 - CONTAINED) * F.col("n") + 1e-6)
+    pairs = telling.select("a", "h").join(index, "h").select("a", "b").distinct()
     shared = (
         pairs.join(mine, "a").join(index, ["b", "h"])
-        .groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
+        .groupBy("a", "b").agg(F.sum("times").alias("shared"), F.max("n").alias("n"))
         .where(F.col("shared") >= CONTAINED * F.col("n"))
     )
     whole = classes.where("origin is not null and other is not null").select(F.col("class").alias("a"), F.col("class").alias("b"), F.col("n").alias("shared"), "n")

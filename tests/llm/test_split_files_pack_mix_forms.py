@@ -101,6 +101,29 @@ def test_copies_in_many_repositories_are_found(spark):
     assert got == 80
 
 
+def test_edited_copies_of_a_library_in_many_variants_are_found(spark):
+    """However many vendored variants share a line, it leads to them."""
+    word = lambda i: chr(97 + i % 26) + chr(97 + i // 26)
+    lib = [f"    step_{word(i)} = run(value_{word(i)}, mode)" for i in range(30)]
+    rows = [_chunk(i, "\n".join([*lib, f"    variant_{word(i)} = start(mode)"]), f"vendor/lib{i}/x.py", repo=f"r{i}") for i in range(60)]
+    mine = [f"    {x}_of_mine = other(thing)" for x in ("first", "second", "third")]
+    rows.append(_chunk(90, "\n".join([*lib, *mine]), "src/edited.py", repo="own"))
+    rows.append(_chunk(91, "\n".join([*lib[:20], *(f"    own_{word(i)} = call(mode)" for i in range(10))]), "src/third.py", repo="own"))
+    got = {r.relative_path: r for r in p7_machine_made.machine_made(spark.createDataFrame(rows, CHUNKS)).collect()}
+    assert got["src/edited.py"].why == "vendored" and abs(got["src/edited.py"].containment - 30 / 33) < 1e-6
+    assert got["src/third.py"].why is None
+
+
+def test_lines_of_many_chunks_count_once_each(spark):
+    """A line that a vendored file repeats in more than 50 chunks still leads to it, and counts once for each asking chunk."""
+    word = lambda i: chr(97 + i % 26) + chr(97 + i // 26)
+    lib = "\n".join(f"    step_{word(i)} = run(value_{word(i)}, mode)" for i in range(10))
+    rows = [_chunk(i, f"{lib}\n    part_{word(i)} = begin(mode)", "vendor/lib/x.py", repo="r0", start=1 + 20 * i) for i in range(55)]
+    rows.append(_chunk(80, f"{lib}\n    own_first = other(thing)\n    own_second = other(thing)", "src/edited.py", repo="own"))
+    got = {r.relative_path: r for r in p7_machine_made.machine_made(spark.createDataFrame(rows, CHUNKS)).collect()}
+    assert got["src/edited.py"].why == "vendored" and abs(got["src/edited.py"].containment - 10 / 12) < 1e-6
+
+
 def test_hilbert_curve_is_a_path():
     """All cells once, and neighbours on the curve are neighbours in the cube."""
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
