@@ -31,7 +31,7 @@ GENERATED_HEADER = re.compile(
 VENDORED_HEADER = re.compile(
     r"""(?ix) @license\s+\S+\s+v?\d+\.\d+ | ^\W*distributed\s+with\s+permission\s+of\s+the\b
     | ^\W*copied\s+(?:unchanged|verbatim|unmodified|as\s+is)?\s*from\s+\S+\s+v?\d | ^\W*this\s+copy\s+of\s+\S+\s+\(v?\d
-    | ^\W*[\w.\-]+\s+v\d+\.\d+(?:\.\d+)?\s+-\s+https?:// | \(c\)\s+\d{4}\S*\s+the\s+\S+\s+(?:authors|contributors)\b | ^/\*!\s*\S+\s+v\d"""
+    | ^(?:\W*+|[^\w.\-]*+(?=[.\-]++\s))[\w.\-]++\s+v\d+\.\d+(?:\.\d+)?\s+-\s+https?:// | \(c\)\s+\d{4}\S*\s+the\s+\S+\s+(?:authors|contributors)\b | ^/\*!\s*\S+\s+v\d"""
 )
 NUMBERS = re.compile(r"^[\[{(\s]*(?:[-+]?(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)[uUlLfF]*\s*[,;]?\s*){4,}[\]})\s;,]*$")
 ENCODED = re.compile(r"""^\s*[\[(]?\s*["'][A-Za-z0-9+/=\\]{40,}["'][\s+,;)\]\\.]*$""")
@@ -59,13 +59,50 @@ def measures(text: str) -> tuple:
     return len(text), len(filled), long_chars, sum(x.count(" ") for x in lines if len(x) > LONG_LINE), data, records, numbered, integrity
 
 
+SAYS = "says_generated says_vendored block_generated block_vendored open".split()
 COUNTS = "chars filled long_chars long_blanks data_chars record_chars numbered integrity".split()
 
 
-def header(text: str) -> tuple[bool, bool]:
-    """Whether the first lines say that a tool wrote the file, or that it comes from elsewhere."""
-    top = [x[:300] for x in text.split("\n")[:HEADER_LINES]]
-    return any(map(GENERATED_HEADER.search, top)), any(map(VENDORED_HEADER.search, top))
+#: Comments of several lines: what opens them and what closes them. And what begins a line that is a comment (or a preamble) as a whole.
+BLOCKS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''", "{-": "-}", "--[[": "]]", "(*": "*)", "<#": "#>", "=begin": "=end"}
+COMMENT = re.compile(r"(?i)//|#(?!\s*(?:include|define|pragma|ifn?def|if|undef|import|region)\b)|--|;|%|\*(?!\s*[{,])|<\?|<!doctype|rem\b")
+EDGE = re.compile(r"(?m)/\*|<!--|^(?:(?!/\*|<!--)[^\"'`\n])*?(\*/|-->)\s*$")
+
+
+def leading(text: str) -> tuple[int, bool]:
+    """How many lines lie before the first line of code (one that begins with a comment counts), and whether there is no code at all.
+
+    A chunk that closes a comment which it does not open begins inside it.
+    """
+    close = m[1] if (m := EDGE.search(text)) and m[1] else ""
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        rest, begun = line.strip("\ufeff \t\r\f\v"), False
+        while rest:
+            if not close and (mark := next((o for o in BLOCKS if rest.startswith(o)), "")):
+                close, rest = BLOCKS[mark], rest[len(mark) :]
+            if close:
+                begun = True
+                _, closed, rest = rest.partition(close)
+                rest = rest.strip()
+                close = "" if closed else close
+            elif COMMENT.match(rest):
+                break
+            else:
+                return i + begun, False
+    return len(lines), True
+
+
+def header(text: str) -> tuple[bool, bool, bool, bool, bool]:
+    """Whether the first lines say that a tool wrote the file, or that it comes from elsewhere; whether the comment before the first line
+    of code says so; and whether there is no such line, so that the comment may go on in the next chunk.
+
+    The first lines are that comment, however long, and HEADER_LINES at least.
+    """
+    lines = text.split("\n")
+    n, open_ = leading(text)
+    generated, vendored = ([bool(p.search(x)) for x in lines[: max(n, HEADER_LINES)]] for p in (GENERATED_HEADER, VENDORED_HEADER))
+    return any(generated), any(vendored), any(generated[:n]), any(vendored[:n]), open_
 
 
 #: A line of at least LINE characters counts, once a chunk.
@@ -73,7 +110,7 @@ LINE = 12
 
 
 def chunk_measures(chunks: DataFrame) -> DataFrame:
-    """Each distinct chunk once: (relative_path, repo, position, ext, COUNTS, says_generated, says_vendored, hs: hashes of its lines).
+    """Each distinct chunk once: (relative_path, repo, position, ext, COUNTS, SAYS, hs: hashes of its lines).
 
     The contents are read and measured in one pass where they lie; what is shuffled to find chunks that come twice is the
     measures (of copies that disagree, those of the longest content hold). Chunks without a path are no file's.
@@ -92,24 +129,31 @@ def chunk_measures(chunks: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            out = pd.DataFrame([(*measures(c), *header(c)) for c in p.content], columns=[*COUNTS, "says_generated", "says_vendored"])
+            out = pd.DataFrame([(*measures(c), *header(c)) for c in p.content], columns=[*COUNTS, *SAYS])
             yield pd.concat([p[["id", "relative_path", "repo", "position", "ext"]].reset_index(drop=True), out, p[["hs"]].reset_index(drop=True)], axis=1)
 
-    counts = ", ".join(f"{c} long" for c in COUNTS)
-    measured = rows.mapInPandas(run, f"id string, relative_path string, repo string, position long, ext string, {counts}, says_generated boolean, says_vendored boolean, hs array<long>")
-    rest = [*COUNTS, "repo", "position", "ext", "says_generated", "says_vendored", "hs"]
+    counts = ", ".join([f"{c} long" for c in COUNTS] + [f"{c} boolean" for c in SAYS])
+    measured = rows.mapInPandas(run, f"id string, relative_path string, repo string, position long, ext string, {counts}, hs array<long>")
+    rest = [*COUNTS, "repo", "position", "ext", *SAYS, "hs"]
     return measured.groupBy("id", "relative_path").agg(F.max(F.struct(*rest)).alias("r")).select("relative_path", "r.*")
 
 
 def file_measures(rows: DataFrame) -> DataFrame:
-    """One row per file: sums over its chunks, and what its first lines say. Files are never put together: all measures add up."""
+    """One row per file: sums over its chunks, and what its first lines say. Files are never put together: all measures add up.
+
+    Where the first chunk is comment only, those after it are read too, to the first that has code. (One that lies wholly inside a comment
+    whose lines bear no mark is taken for code.)
+    """
+    said = lambda c: F.col(f"first.says_{c}") | (F.col("first.open") & F.coalesce(F.col(f"at_{c}") <= F.coalesce("code_at", F.lit(1 << 62)), F.lit(False)))
     return (
         rows.groupBy("relative_path")
         .agg(
             F.min("repo").alias("repo"),
             F.max(F.when(F.col("ext") != "", F.col("ext"))).alias("ext"),
             *[F.sum(c).alias(c) for c in COUNTS],
-            F.min(F.struct("position", "says_generated", "says_vendored")).alias("first"),
+            F.min(F.struct("position", "says_generated", "says_vendored", "open")).alias("first"),
+            F.min(F.when(~F.col("open"), F.col("position"))).alias("code_at"),
+            *[F.min(F.when(F.col(f"block_{c}"), F.col("position"))).alias(f"at_{c}") for c in ("generated", "vendored")],
         )
         .select(
             "relative_path",
@@ -117,8 +161,8 @@ def file_measures(rows: DataFrame) -> DataFrame:
             # the path's extension holds; the column only where the path has none
             F.coalesce(F.nullif(F.lower(F.regexp_extract("relative_path", r"\.([A-Za-z0-9]+)$", 1)), F.lit("")), "ext").alias("ext"),
             *COUNTS,
-            "first.says_generated",
-            "first.says_vendored",
+            said("generated").alias("says_generated"),
+            said("vendored").alias("says_vendored"),
         )
     )
 
@@ -217,7 +261,7 @@ def machine_made(chunks: DataFrame) -> DataFrame:
     """One row per file (relative_path): `why` it is not hand-written (lock file, vendored, generated, minified, data), or null.
 
     A file's measures are sums over its distinct chunks, its first lines those of the chunk with the smallest start_line (without
-    one, chunkIndex). Null contents count as empty; chunks that come twice once; rows without a path belong to no file; broken
+    one, chunkIndex), and of those after it while there is only comment. Null contents count as empty; chunks that come twice once; rows without a path belong to no file; broken
     metadata and extensions are passed over. The contents are read once.
     """
     rows = staged(chunk_measures(chunks))

@@ -124,6 +124,28 @@ def test_lines_of_many_chunks_count_once_each(spark):
     assert got["src/edited.py"].why == "vendored" and abs(got["src/edited.py"].containment - 10 / 12) < 1e-6
 
 
+def test_notices_are_read_to_the_first_line_of_code(spark):
+    notice, code = "// Code generated by maker v1. DO NOT EDIT.", "func add(a int, b int) int {\n\treturn a + b\n}\n"
+    lines = "\n".join("// some words of a licence" for _ in range(30))
+    block = "/*\n" + "some words of a licence\n" * 30
+    rows = [
+        _chunk(1, f"{lines}\n{notice}\n{code}", "src/long.go", ".go"),
+        _chunk(2, f"{block}*/\n{notice}\n{code}", "src/block.go", ".go"),
+        _chunk(3, "// " + "words " * 100 + notice[3:] + "\n" + code, "src/wide.go", ".go"),
+        _chunk(4, block, "src/parted.go", ".go", start=1),
+        _chunk(5, f"words\n*/\n{notice}\n{code}", "src/parted.go", ".go", start=32),
+        _chunk(6, code * 5 + notice + "\n" + code, "src/later.go", ".go"),
+        _chunk(7, lines, "src/below.go", ".go", start=1),
+        _chunk(8, f"{code}{notice}\n{code}", "src/below.go", ".go", start=31),
+        _chunk(9, lines + "\n" + code, "src/plain.go", ".go", start=1),
+        _chunk(10, f"{notice}\n{code}", "src/plain.go", ".go", start=40),
+    ]
+    got = {r.relative_path: r.why for r in p7_machine_made.machine_made(spark.createDataFrame(rows, CHUNKS)).collect()}
+    assert {k for k, v in got.items() if v == "generated"} == {f"src/{x}.go" for x in ("long", "block", "wide", "parted")}, got
+    assert p7_machine_made.leading("x = 1\n# y") == (0, False) and p7_machine_made.leading("/* a */ x = 1") == (1, False)
+    assert p7_machine_made.leading("# a\n\n# b") == (3, True) and p7_machine_made.leading("#include <a>") == (0, False)
+
+
 def test_hilbert_curve_is_a_path():
     """All cells once, and neighbours on the curve are neighbours in the cube."""
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
