@@ -51,8 +51,7 @@ def p4_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    found = p5_credentials.find_credentials(table(spark, d, "chunks"))
-    return found.select("id", F.explode(F.array_distinct("credentials.line_no")).alias("line_no")).where("line_no > 0").select("id", "line_no")
+    return p5_credentials.credential_lines(table(spark, d, "chunks"))
 
 
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
