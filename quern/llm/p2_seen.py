@@ -1,4 +1,4 @@
-"""Problem 2: has this key been seen before? Quotient filters over ordered blocks of the stream, merged block by block."""
+"""Problem 2: has this key been seen before? Quotient filters over ordered blocks of the stream, merged with those of like size."""
 
 from __future__ import annotations
 
@@ -53,6 +53,7 @@ class QuotientFilter:
         shifted[slot] = slot != quotient
         self.bits = [np.packbits(x) for x in (occupied, continuation, shifted)]
         self.size, self.n = size, n
+        self._index: tuple[np.ndarray, ...] | None = None
 
     def nbytes(self) -> int:
         return self.remainders.nbytes + sum(b.nbytes for b in self.bits)
@@ -64,6 +65,13 @@ class QuotientFilter:
         # a home that is occupied but whose own slot is empty cannot be: its run would stand there
         return occupied, start, full, np.flatnonzero(start)
 
+    def index(self) -> tuple[np.ndarray, ...]:
+        """For asking: occupied homes, each home's run (how many occupied ones up to it), where runs start, and filled slots up to each. Made once."""
+        if self._index is None:
+            occupied, _, full, starts = self._layout()
+            self._index = occupied, np.cumsum(occupied, dtype=np.int32), np.append(starts, self.size).astype(np.int32), np.cumsum(full, dtype=np.int32)
+        return self._index
+
     def read(self) -> np.ndarray:
         """All fingerprints, ascending."""
         occupied, start, full, _ = self._layout()
@@ -75,14 +83,12 @@ class QuotientFilter:
         """Whether each fingerprint (q + r bits) is stored."""
         if not self.n or not len(asked):
             return np.zeros(len(asked), bool)
-        occupied, _, full, starts = self._layout()
+        occupied, runs, starts, filled = self.index()
         quotient = (asked >> np.uint64(self.r)).astype(np.int64)
         remainder = asked & np.uint64((1 << self.r) - 1)
         out = occupied[quotient]
-        run = np.cumsum(occupied)[quotient] - 1
-        at = starts[np.maximum(run, 0)]
-        following = np.append(starts[1:], self.size)[np.maximum(run, 0)]
-        filled = np.cumsum(full)
+        run = np.maximum(runs[quotient] - 1, 0)
+        at, following = starts[run], starts[run + 1]
         length = filled[following - 1] - filled[at] + 1  # entries up to the next run, empty slots not counted
         found = np.zeros(len(asked), bool)
         live = np.flatnonzero(out)
@@ -103,6 +109,38 @@ class QuotientFilter:
         return QuotientFilter(both, q, self.q + self.r - q)
 
 
+class Levels:
+    """All keys of a segment so far, as quotient filters of growing size; filters of like size are merged, so that each key is moved a few times only."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.filters: list[QuotientFilter] = []
+        self.moved = 0  # keys written into filters
+
+    def _filter(self, ordered: np.ndarray) -> QuotientFilter:
+        q = quotient_bits(len(ordered), self.bits)
+        return QuotientFilter(ordered, q, self.bits - q)
+
+    def ask(self, keys: np.ndarray) -> np.ndarray:
+        """For keys in the order of their arrival: whether each came earlier, among these or before. Afterwards all are held."""
+        distinct, first = np.unique(keys, return_index=True)
+        new = ~np.logical_or.reduce([f.contains(distinct) for f in self.filters]) if self.filters else np.ones(len(distinct), bool)
+        seen = np.ones(len(keys), bool)
+        seen[first[new]] = False
+        if new.any():
+            self._add(distinct[new])
+        return seen
+
+    def _add(self, ordered: np.ndarray) -> None:
+        held = self._filter(ordered)
+        self.moved += held.n
+        while self.filters and self.filters[-1].n <= 2 * held.n:
+            last = self.filters.pop()
+            held = last.merged(held.read(), quotient_bits(last.n + held.n, self.bits))
+            self.moved += held.n
+        self.filters.append(held)
+
+
 def quotient_bits(n: int, bits: int) -> int:
     """So that at most 3 of 4 homes are taken; the remainder keeps at least 1 bit."""
     return int(min(max(4, np.ceil(np.log2(max(1, n) / 0.75))), bits - 1))
@@ -180,37 +218,23 @@ def seen_before(
         yield pd.DataFrame({"lookup_id": -1, "fp": kept, "block": EARLIEST, "segment": kept >> shift, "seen": None})
 
     def answer(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Segments one after another, each with its blocks in order; one filter is held."""
-        segment, block, held, waiting = None, None, None, []
-
-        def close(held: QuotientFilter | None) -> QuotientFilter:
-            new = np.unique(np.concatenate(waiting)) if waiting else np.empty(0, np.uint64)
-            waiting.clear()
-            if held is None:
-                q = quotient_bits(len(new), shift)
-                return QuotientFilter(new, q, shift - q)
-            return held.merged(new, quotient_bits(held.n + len(new), shift))
-
+        """Segments one after another, each with its blocks in order; the filters of one are held."""
+        segment, held = None, None
         for p in parts:
             done = p.fp < 0
             yield p.loc[done, ["lookup_id", "seen"]]
             p = p[~done]
             if not len(p):
                 continue
-            edges = np.flatnonzero((p.segment.to_numpy()[1:] != p.segment.to_numpy()[:-1]) | (p.block.to_numpy()[1:] != p.block.to_numpy()[:-1])) + 1
-            for piece in np.split(np.arange(len(p)), edges):
-                rows = p.iloc[piece]
-                s, b = int(rows.segment.iloc[0]), int(rows.block.iloc[0])
-                if s != segment:
-                    segment, block, held = s, b, None
-                    waiting.clear()
-                elif b != block:
-                    held, block = close(held), b
-                fps = rows.fp.to_numpy(np.uint64) & np.uint64((1 << shift) - 1)
-                if b != EARLIEST:
-                    found = held.contains(fps) if held is not None else np.zeros(len(fps), bool)
-                    yield pd.DataFrame({"lookup_id": rows.lookup_id.to_numpy(), "seen": found})
-                waiting.append(fps)
+            of, fps, ids, asks = p.segment.to_numpy(), p.fp.to_numpy(np.uint64) & np.uint64((1 << shift) - 1), p.lookup_id.to_numpy(), p.block.to_numpy() != EARLIEST
+            edges = np.flatnonzero(of[1:] != of[:-1]) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(p)], strict=True):
+                if of[lo] != segment:
+                    segment, held = of[lo], Levels(shift)
+                seen = held.ask(fps[lo:hi])
+                asking = asks[lo:hi]
+                if asking.any():
+                    yield pd.DataFrame({"lookup_id": ids[lo:hi][asking], "seen": seen[asking]})
 
     schema = "lookup_id long, fp long, block long, segment long, seen boolean"
     before = (

@@ -72,6 +72,33 @@ def test_quotient_filter_holds_what_it_was_given(keys, q, more):
     assert g.read().tolist() == sorted(keys | more) and (g.q, g.q + g.r) == (max(3, q - 1), 20)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 400), max_size=40), max_size=30))
+def test_levels_answer_in_the_order_of_arrival(batches):
+    held, before = p2_seen.Levels(20), set()
+    for batch in batches:
+        truth = []
+        for k in batch:
+            truth.append(k in before)
+            before.add(k)
+        assert held.ask(np.array(batch, np.uint64)).tolist() == truth
+    assert sorted(k for f in held.filters for k in f.read().tolist()) == sorted(before)
+
+
+def test_work_grows_with_the_keys():
+    """250 and 2,500 batches of 200 keys: a key is moved a few times, however many batches there are."""
+    rng = np.random.default_rng(6)
+    each = []
+    for n in (250, 2500):
+        held = p2_seen.Levels(44)
+        keys = rng.integers(0, 1 << 44, (n, 200), dtype=np.uint64)
+        for batch in keys:
+            assert not held.ask(batch).any()
+        assert held.ask(keys.ravel()[:5000]).all() and len(held.filters) < 14
+        each.append(held.moved / keys.size)
+    assert each[1] < 1.5 * each[0] and each[1] < 16
+
+
 def _digest(n):
     return hashlib.sha256(str(n).encode()).hexdigest()
 
@@ -95,7 +122,7 @@ def test_seen_before_against_brute_force(spark):
     rng.shuffle(stream)
     c = spark.createDataFrame(cache, "content_hash string, fp string")
     s = spark.createDataFrame(stream, "lookup_id long, content_hash string").withColumn("block", F.lit("clash"))
-    for blocks, segments in ((10_000, 10_000), (100, 64)):
+    for blocks, segments in ((10_000, 10_000), (100, 64), (4, 100)):  # the last: 225 blocks
         got = {r.lookup_id: r.seen for r in p2_seen.seen_before(c, s, block_rows=blocks, segment_rows=segments).collect()}
         assert got == truth
     few = p2_seen.error_report(c, s, bits=9).first()
