@@ -69,11 +69,7 @@ def lex(line: str, at: int = 0, inner: bool = False) -> list[Token]:
         elif kind == "punct" or kind == "op":
             add(Token(s, s + len(text), text, kind))
         elif kind == "string":
-            body = text[1:-1]
-            if text[0] == "`":
-                out += [Token(s, s + 1, "`", "punct"), *lex(body, s + 1, True), Token(s + len(text) - 1, s + len(text), "`", "punct")]
-            else:
-                out += value(body, s + 1, "string")
+            out += literal(text, s)
         elif kind == "uri":
             out += value(text, s, "uri")
         elif text[0] == "<" and f"</{text[1:-1].split(' ', 1)[0]}" in line:  # an element that closes in its line: a name for what it holds
@@ -84,6 +80,13 @@ def lex(line: str, at: int = 0, inner: bool = False) -> list[Token]:
     return out
 
 
+def literal(text: str, s: int) -> list[Token]:
+    """A quoted text that begins at s: what is inside."""
+    if text[0] == "`":
+        return [Token(s, s + 1, "`", "punct"), *lex(text[1:-1], s + 1, True), Token(s + len(text) - 1, s + len(text), "`", "punct")]
+    return value(text[1:-1], s + 1, "string")
+
+
 def address(text: str, at: int) -> list[Token]:
     """An address without a user: what leads to it, the parts of its path and the values of its query."""
     m = ADDRESS.match(text)
@@ -169,7 +172,6 @@ CURL = frozenset("curl wget http https xh lftp ftp".split())
 SETS = frozenset("env arg setenv setx define #define".split())
 
 
-@lru_cache(maxsize=KEPT)
 def name_class(name: str) -> str:
     parts = [w.lower() for w in WORDS.findall(name)]
     while len(parts) > 1 and (parts[-1] in NEUTRAL or parts[-1].isdigit()):
@@ -201,66 +203,73 @@ def _decoded(v: str) -> str:
         return ""
 
 
-_PLAIN = re.compile(r"[a-z]+\Z")
-_DIGIT, _PLAIN_SIGNS = re.compile(r"\d"), re.compile(r"[A-Za-z0-9]+")
+_PLAIN, _DIGIT, _PLAIN_SIGNS = re.compile(r"[a-z]+\Z"), re.compile(r"\d"), re.compile(r"[A-Za-z0-9]+")
 _PUBLISHED = re.compile(r"(?:AIza[\w\-]{30,}|SG\.[\w\-]{16,}\.[\w\-]{16,}|xox[a-z]-\d+-\d+-\w+|github_pat_\w{20,}|[a-z]{2,5}_v\d_[0-9a-f]{32,}|\d{8,10}:[\w\-]{30,})\Z")
-_VENDOR = re.compile(r"[A-Za-z]{2,6}(?:[_\-.][a-z]{2,8})?[_\-.](?=[a-z]*[A-Z0-9])(?=[A-Z0-9]*[a-z])[A-Za-z0-9]{16,}\Z")
+_VENDOR = re.compile(r"[A-Za-z]{2,6}(?:[_\-.][a-z]{2,8})?[_\-.](?=[a-z]*[A-Z0-9])(?=[A-Z0-9]*[a-z])([A-Za-z0-9]{16,})\Z")
+_NUMBER, _WORDS = re.compile(r"[\d.,_]+\Z"), re.compile(r"[a-z]+(?:[_\-. ][a-z]+)+\Z")
+_UUID, _DIGEST = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z"), re.compile(r"(?i)(?:sha\d{1,3}|md5)[-:=]")
+_HEX, _JWT = re.compile(r"(?:[0-9a-f]{24,}|[0-9A-F]{24,})\Z"), re.compile(r"eyJ[\w\-]+\.(?:eyJ)?[\w\-]+\.[\w\-]*\Z")
+_BASE64, _KEY_SIGNS = re.compile(r"[A-Za-z0-9+/]{10,}={0,2}\Z"), re.compile(r"[A-Za-z0-9+/_\-]{16,}\Z")
+_ACCOUNT, _COLON = re.compile(r"\{.*\"(?:password|auth|token|secret)\""), re.compile(r"[\w.@\-]+:\S+\Z")
+_PATH, _DOMAIN = re.compile(r"(?:/?[\w.@\-]+/)+[\w.\-]*\Z"), re.compile(r"(?:[a-z][a-z0-9\-]*\.)+[a-z]{2,}\Z")
+_CONSTANT, _DOTTED = re.compile(r"[A-Z][A-Z_]+\Z"), re.compile(r"[A-Za-z_]+(?:(?:\.|::)[A-Za-z_]+)+\Z")
+_STRONG, _ENDS, _MARK = re.compile(r"[^\w\-./]+\Z"), re.compile(r"\.$|[()]"), re.compile(r"[#!?*$%&+^~@]")
 
 
-@lru_cache(maxsize=KEPT)
 def shape(v: str) -> str:
     """One class of a value's form."""
-    if _PLAIN.match(v) and not HOLE.match(v):
-        return "word" if len(v) < 16 else "long_word"
     if not v:
         return "empty"
-    if v.startswith("-----BEGIN") or "-----BEGIN" in v:
+    if "-----BEGIN" in v:
         return "pem_private" if "PRIVATE KEY" in v else "pem_public"
     if HOLE.match(v):
         return "hole"
-    if len(set(v)) <= 2 and len(v) >= 4 and not v.isalnum():
+    if _PLAIN.match(v):
+        return "word" if len(v) < 16 else "long_word"
+    if len(v) >= 4 and len(set(v)) <= 2 and not v.isalnum():
         return "mask"
-    if re.fullmatch(r"[\d.,_]+", v):
+    if _NUMBER.match(v):
         return "number"
-    if re.fullmatch(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", v):
+    if _WORDS.match(v):
+        return "domain" if _DOMAIN.match(v) else "words"
+    if _UUID.match(v):
         return "uuid"
-    if re.match(r"(?i)(?:sha\d{1,3}|md5)[-:=]", v):
+    if _DIGEST.match(v):
         return "digest"
-    if re.fullmatch(r"[0-9a-f]{24,}|[0-9A-F]{24,}", v):
+    if _HEX.match(v):
         return "hex"
-    if re.match(r"eyJ[\w\-]+\.(?:eyJ)?[\w\-]+\.[\w\-]*$", v):
+    if v.startswith("eyJ") and _JWT.match(v):
         return "jwt"
     lower, upper, digit = v != v.upper(), v != v.lower(), _DIGIT.search(v) is not None
-    special = _PLAIN_SIGNS.sub("", v)
-    if len(v) >= 12 and re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", v) and (d := _decoded(v)) and d.isprintable():
-        if re.match(r"\{.*\"(?:password|auth|token|secret)\"", d):
+    if len(v) >= 12 and _BASE64.match(v) and (d := _decoded(v)) and d.isprintable():
+        if _ACCOUNT.match(d):
             return "b64_account"
-        if re.fullmatch(r"[\w.@\-]+:\S+", d):
+        if _COLON.match(d):
             return "b64_pair"
-    if _PUBLISHED.match(v) or _VENDOR.match(v) and _mixed(re.split(r"[_\-.]", v)[-1]):
+    if _PUBLISHED.match(v) or (m := _VENDOR.match(v)) and _mixed(m[1]):
         return "vendor"
     body = v.rstrip("=")
-    if len(body) >= 16 and re.fullmatch(r"[A-Za-z0-9+/_\-]+", body) and _mixed(body):
+    if _KEY_SIGNS.match(body) and _mixed(body):
         return "random" if len(body) < 80 else "blob"
-    if re.fullmatch(r"(?:/?[\w.@\-]+/)+[\w.\-]*", v) and (lower and not upper):
-        return "path"
-    if re.fullmatch(r"(?:[a-z][a-z0-9\-]*\.)+[a-z]{2,}", v):
-        return "domain"
-    if re.fullmatch(r"[a-z]+(?:[_\-. ][a-z]+)+", v):
-        return "words"
-    if re.fullmatch(r"[A-Z][A-Z_]+", v):
+    if lower and not upper:
+        if "/" in v and _PATH.match(v):
+            return "path"
+        if "." in v and _DOMAIN.match(v):
+            return "domain"
+    if _CONSTANT.match(v):
         return "constant"
-    if not digit and re.fullmatch(r"[A-Za-z_]+(?:(?:\.|::)[A-Za-z_]+)+", v):
+    if not digit and _DOTTED.match(v):
         return "dotted"
-    if digit and (lower or upper) and not special:
-        return "word_digits"
-    if digit and (lower or upper) and re.fullmatch(r"[^\w\-./]+", special):
-        return "strong"
+    special = _PLAIN_SIGNS.sub("", v)
     if digit and (lower or upper):
-        return "other" if re.search(r"\.$|[()]", v) else "marked_digits_case" if lower and upper else "marked_digits"
+        if not special:
+            return "word_digits"
+        if _STRONG.match(special):
+            return "strong"
+        return "other" if _ENDS.search(v) else "marked_digits_case" if lower and upper else "marked_digits"
     if lower and upper and not special:
         return "camel" if v[0].islower() else ("capital" if v[1:].islower() else "mixed_case")
-    if special and re.search(r"[#!?*$%&+^~@]", special):
+    if special and _MARK.search(special):
         return "marked"
     if special and lower and upper:
         return "marked_case"
@@ -276,13 +285,14 @@ def _mixed(v: str) -> bool:
     return turns >= 0.35 * (len(v) - 1)
 
 
-@lru_cache(maxsize=KEPT)
+_CALLS = re.compile(r"(?i)env|vault|config\.get|lookup|fetch|prompt|readline|login|connect|auth|sign_?in|credential|passw|getpass|put|set|add|property|insert|entry|\bof$")
+_CALLS_ENV, _CALLS_LOGIN = re.compile(r"(?i)env|vault|config\.get|lookup|fetch|getpass|prompt|readline"), re.compile(r"(?i)login|connect|auth|sign_?in|credential|passw")
+
+
 def call_class(callee: str) -> str:
-    if re.search(r"(?i)env|getenv|vault|config\.get|lookup|fetch|getpass|prompt|readline", callee):
-        return "env"
-    if re.search(r"(?i)login|connect|auth|sign_?in|credential|passw", callee):
-        return "login"
-    return ("put" if re.search(r"(?i)put|set|add|property|insert|entry|\bof$", callee) else "call") if callee else "none"
+    if not _CALLS.search(callee):
+        return "call" if callee else "none"
+    return "env" if _CALLS_ENV.search(callee) else "login" if _CALLS_LOGIN.search(callee) else "put"
 
 
 class Context(NamedTuple):
@@ -379,6 +389,28 @@ def fact_no(kind: str, text: str) -> int:
     return k
 
 
+@lru_cache(maxsize=KEPT)
+def numbers_of(kind: str, text: str) -> tuple[int, ...] | None:
+    """The numbers of the tokens that a match of TOKEN stands for, as lex makes them; None where that depends on the line."""
+    if kind == "word" and (text[0] != "-" or not GLUED.match(text)) or kind in ("op", "punct"):
+        return (fact_no(kind, text),)
+    if kind == "hole":
+        return None if text[0] == "<" else (fact_no(kind, text),)
+    return tuple([fact_no(t.kind, t.text) for t in (literal(text, 0) if kind == "string" else value(text, 0, kind) if kind in ("uri", "config") else lex(text))])
+
+
+def line_numbers(line: str) -> tuple[int, ...]:
+    """The numbers of lex(line)'s tokens, without making these."""
+    if (m := CONFIG.match(line)) and "(" not in m[2]:
+        return (fact_no("word", m[1]), fact_no("op", "="), *numbers_of("config", m[2]))
+    out: list[int] = []
+    for m in TOKEN.finditer(line):
+        if (got := numbers_of(m.lastgroup, m[0])) is None:
+            return tuple([fact_no(t.kind, t.text) for t in lex(line)])
+        out += got
+    return tuple(out)
+
+
 def fact(kind: str, text: str) -> Fact:
     s = shape(text) if kind not in ("op", "punct", "hole", "body") else kind
     low = text.lower()
@@ -594,12 +626,21 @@ class Finder:
     def _line(self, line: str, carried: tuple[str, str]) -> tuple[list[tuple[int, int, int, str]], tuple[str, str]]:
         key = (line, carried)
         if (got := self.kept.get(key)) is None:
-            tokens = lex(line)
-            if not tokens:
+            facts = line_numbers(line)
+            if not facts:
                 return [], carried
             if len(self.kept) >= KEPT:
                 self.kept.clear()
-            got = self.kept[key] = self._labelled(tokens, line, carried)
+            labels, after = self._form(facts, COMMENT.match(line) is not None, carried)
+            got = self.kept[key] = (self._places(lex(line), labels) if labels else [], after)
+        return got
+
+    def _form(self, facts: tuple[int, ...], comment: bool, carried: tuple[str, str]) -> tuple[list[int], tuple[str, str]]:
+        key = (facts, comment, carried)
+        if (got := self.forms.get(key)) is None:
+            if len(self.forms) >= KEPT:
+                self.forms.clear()
+            got = self.forms[key] = self._labels(tuple(_facts[k] for k in facts), comment, carried)
         return got
 
     def _labels(self, facts: tuple[Fact, ...], comment: bool, carried: tuple[str, str]) -> tuple[list[int], tuple[str, str]]:
@@ -614,23 +655,16 @@ class Finder:
             labels = self.field.viterbi(scored, allowed)
         return labels if any(labels) else [], after
 
-    def _labelled(self, tokens: list[Token], line: str, carried: tuple[str, str]) -> tuple[list[tuple[int, int, int, str]], tuple[str, str]]:
-        key = (tuple([fact_no(t[3], t[2]) for t in tokens]), COMMENT.match(line) is not None, carried)
-        if (got := self.forms.get(key)) is None:
-            if len(self.forms) >= KEPT:
-                self.forms.clear()
-            got = self.forms[key] = self._labels(tuple(_facts[k] for k in key[0]), *key[1:])
-        labels, after = got
+    def _places(self, tokens: list[Token], labels: list[int]) -> list[tuple[int, int, int, str]]:
+        """(label, start, end, kind) of what is labelled; 2: goes on, does not begin on a line of its own."""
         out: list[tuple[int, int, int, str]] = []
-        if not labels:
-            return out, after
-        for t, y in zip(tokens, labels, strict=False):
+        for t, y in zip(tokens, labels, strict=True):
             if y == 1 and t.kind == "pem" and (m := PEM_BEGIN.search(t.text)):
                 e = PEM_END.search(t.text, m.end())
                 out.append((y, t.start + m.end(), t.start + (e.start() if e else len(t.text)), "key block"))
             elif y and (y == 1 or out):
-                out.append((y, t.start, t.end, t.kind))  # 2: goes on; does not begin on a line of its own
-        return [x for x in out if x[1] < x[2]], after
+                out.append((y, t.start, t.end, t.kind))
+        return [x for x in out if x[1] < x[2]]
 
     def spans(self, content: str) -> list[tuple[int, int, int, str]]:
         """(line number, start, end, kind) of each credential in Viterbi's labelling; of a key block the places between its marks.
@@ -642,7 +676,8 @@ class Finder:
             carried = ("", "")
             for line_no, start, tokens, line in sequences(content):
                 if tokens and tokens[0].kind == "pem":
-                    got, carried = self._labelled(tokens, line, carried)
+                    labels, carried = self._form(tuple(fact_no(t.kind, t.text) for t in tokens), COMMENT.match(line) is not None, carried)
+                    got = self._places(tokens, labels) if labels else []
                     found += [(line_no if k == 0 or y == 1 and kind != "body" else 0, start + a, start + b, kind) for k, (y, a, b, kind) in enumerate(got)]
                 else:
                     got, carried = self._line(line, carried)

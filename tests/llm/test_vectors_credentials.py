@@ -255,3 +255,10 @@ def test_lines_equal_those_of_the_places(spark):
     lines = [tuple(r) for r in p5_credentials.credential_lines(df).collect()]
     assert set(lines) == places and len(lines) == len(places) == 5
     assert p5_credentials.credential_lines(df.limit(0)).count() == 0
+
+
+def test_numbers_of_lines_are_those_of_their_tokens():
+    texts = [*p5_training.training_texts(1500, seed=61), TEXT, "x = `a \"b\" ${c}` <b>d</b> 'e f' -ppass1word http://u:v@w/x?y=z", '"" = \'\'', "  ", "it's don't"]
+    for text in texts:
+        for line in re.sub("[\x01\x02]", "", text).split("\n"):
+            assert p5_credentials.line_numbers(line) == tuple(p5_credentials.fact_no(t.kind, t.text) for t in p5_credentials.lex(line)), line
