@@ -105,7 +105,7 @@ def header(text: str) -> tuple[bool, bool, bool, bool, bool]:
     return any(generated), any(vendored), any(generated[:n]), any(vendored[:n]), open_
 
 
-#: A line of at least LINE characters counts, once a chunk.
+#: A line of at least LINE characters counts, once a file.
 LINE = 12
 
 
@@ -151,6 +151,7 @@ def file_measures(rows: DataFrame) -> DataFrame:
             F.min("repo").alias("repo"),
             F.max(F.when(F.col("ext") != "", F.col("ext"))).alias("ext"),
             *[F.sum(c).alias(c) for c in COUNTS],
+            F.count("*").alias("chunks"),
             F.min(F.struct("position", "says_generated", "says_vendored", "open")).alias("first"),
             F.min(F.when(~F.col("open"), F.col("position"))).alias("code_at"),
             *[F.min(F.when(F.col(f"block_{c}"), F.col("position"))).alias(f"at_{c}") for c in ("generated", "vendored")],
@@ -161,6 +162,7 @@ def file_measures(rows: DataFrame) -> DataFrame:
             # the path's extension holds; the column only where the path has none
             F.coalesce(F.nullif(F.lower(F.regexp_extract("relative_path", r"\.([A-Za-z0-9]+)$", 1)), F.lit("")), "ext").alias("ext"),
             *COUNTS,
+            "chunks",
             said("generated").alias("says_generated"),
             said("vendored").alias("says_vendored"),
         )
@@ -188,69 +190,75 @@ def reason() -> Column:
 
 
 CONTAINED, LEAST_LINES = 0.8, 5
+#: An unmarked file of code with at least SPREAD_LINES distinct lines that so many repositories hold unchanged is nobody's own.
+SPREAD, SPREAD_LINES = 3, 20
 #: Distinct vendored lines up to this number (8 bytes each) are sent to all tasks; more are matched by shuffle.
 BROADCAST_LINES = 500_000
 
 
+def file_lines(hashed: DataFrame, known: DataFrame) -> DataFrame:
+    """(relative_path, repo, marked, h): the distinct lines of each file that nothing marks, or that is marked as vendored.
+
+    Only files of several chunks are looked through for lines that come again; where the lines of one chunk are, they are distinct.
+    """
+    open_ = known.where("why is null or why = 'vendored'").select("relative_path", "repo", F.col("why").isNotNull().alias("marked"), "chunks")
+    lines = hashed.join(open_, "relative_path").select("relative_path", "repo", "marked", "chunks", F.explode("hs").alias("h"))
+    columns = ["relative_path", "repo", "marked", "h"]
+    return lines.where("chunks = 1").select(columns).unionByName(lines.where("chunks > 1").select(columns).distinct())
+
+
 def vendored_edits(hashed: DataFrame, known: DataFrame) -> DataFrame:
     """(relative_path, origin, containment): files that nothing marks, most of whose lines are in a vendored file of another repository.
 
-    hashed: (relative_path, hs) of all chunks; known: (relative_path, repo, why) of all files. Files of equal lines are one class (by count, sum and exclusive or of the line
-    hashes, which add up over chunks), so that a copied file, however often, counts once on either side. The vendored classes'
-    lines are the inverted index. Of the others' lines only those in it are kept; a class of which less than CONTAINED are, is
-    no copy, whatever it is compared with. For the few that remain, the rarest lines name the vendored classes they may come from: those
-    in no vendored class first, then by the number of these, until they are more than a copy may have of its own (so that none can lack
-    them all, however many classes share them). For these pairs the shared lines are counted, rare or not: an asking class's once for each of
-    its chunks, as in n. A class that holds an unmarked file and a vendored one of another repository is contained whole.
+    hashed: (relative_path, hs) of all chunks; known: (relative_path, repo, why, chunks) of all files. Files of equal lines are one class (by
+    count, sum and exclusive or of the hashes of their distinct lines), so that a copied file, however often, counts once on either side.
+    The vendored classes' lines are the inverted index. Of the others' lines only those in it are kept; a class of which less than CONTAINED
+    are, is no copy, whatever it is compared with. For the few that remain, the rarest lines name the vendored classes they may come from,
+    by the number of these, until they are more than a copy may have of its own (so that none can lack them all, however many classes share
+    them). For these pairs the shared lines are counted, rare or not: distinct lines of the asking file that the vendored one has.
+    A class that holds an unmarked file and a vendored one of another repository is contained whole. So is an unmarked class of code that
+    SPREAD repositories or more hold: nobody wrote it in each of them; its origin is its first file.
     """
-    sums = hashed.select(
-        "relative_path",
-        F.size("hs").alias("n"),
-        F.expr("aggregate(hs, 0L, (s, h) -> s + (h & 4294967295))").alias("s"),
-        F.expr("aggregate(hs, 0L, (s, h) -> s ^ h)").alias("x"),
+    lines = staged(file_lines(hashed, known))
+    files = lines.groupBy("relative_path").agg(
+        F.first("repo").alias("repo"), F.first("marked").alias("marked"), F.count("*").alias("n"), F.sum(F.col("h").bitwiseAND(F.lit((1 << 32) - 1))).alias("s"), F.bit_xor("h").alias("x")
     )
-    files = (
-        sums.groupBy("relative_path")
-        .agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"))
-        .where(F.col("n") >= LEAST_LINES)
-        .join(known.where("why is null or why = 'vendored'"), "relative_path")
-        .select("relative_path", "repo", "n", F.col("why").isNotNull().alias("marked"), F.xxhash64("n", "s", "x").alias("class"))
+    files = staged(files.where(F.col("n") >= LEAST_LINES).select("relative_path", "repo", "n", "marked", F.xxhash64("n", "s", "x").alias("class")))
+    held = files.groupBy("class", "repo").agg(
+        F.max("n").alias("n"), F.min(F.when(F.col("marked"), F.col("relative_path"))).alias("origin"), F.min(F.when(~F.col("marked"), F.col("relative_path"))).alias("other")
     )
-    files = staged(files)
-    classes = files.groupBy("class").agg(
-        F.max("n").alias("n"),
-        F.min(F.when(F.col("marked"), F.col("relative_path"))).alias("origin"),
-        F.min(F.when(~F.col("marked"), F.col("relative_path"))).alias("other"),
+    classes = held.groupBy("class").agg(
+        F.max("n").alias("n"), F.min("origin").alias("origin"), F.min("other").alias("other"),
         # enough to tell whether the vendored side is another repository
-        F.min(F.when(F.col("marked"), F.col("repo"))).alias("first_repo"), F.max(F.when(F.col("marked"), F.col("repo"))).alias("last_repo"),
+        F.min(F.when(F.col("origin").isNotNull(), F.col("repo"))).alias("first_repo"), F.max(F.when(F.col("origin").isNotNull(), F.col("repo"))).alias("last_repo"),
+        F.count("repo").alias("repos"),
     )
     classes = staged(classes)
-    index = staged(
-        hashed.join(classes.where("origin is not null").select(F.col("origin").alias("relative_path"), F.col("class").alias("b")), "relative_path")
-        .select("b", F.explode("hs").alias("h")).distinct()
-    )
-    lines = staged(index.groupBy("h").agg(F.count("*").alias("df")))
-    asked = hashed.join(classes.where("origin is null").select(F.col("other").alias("relative_path"), F.col("class").alias("a"), "n"), "relative_path").select("a", "n", F.explode("hs").alias("h"))
-    wanted = F.broadcast(lines.select("h")) if lines.count() <= BROADCAST_LINES else lines.select("h")
+    index = staged(lines.select("relative_path", "h").join(classes.where("origin is not null").select(F.col("origin").alias("relative_path"), F.col("class").alias("b")), "relative_path").select("b", "h"))
+    rare = staged(index.groupBy("h").agg(F.count("*").alias("df")))
+    asked = lines.select("relative_path", "h").join(classes.where("origin is null").select(F.col("other").alias("relative_path"), F.col("class").alias("a"), "n"), "relative_path").select("a", "n", "h")
+    wanted = F.broadcast(rare.select("h")) if rare.count() <= BROADCAST_LINES else rare.select("h")
     matched = staged(asked.join(wanted, "h", "left_semi"))
-    enough = matched.groupBy("a").agg(F.count("*").alias("m"), F.max("n").alias("n")).where(F.col("m") >= CONTAINED * F.col("n")).select("a")
-    mine = staged(matched.join(enough, "a", "left_semi").groupBy("a", "n", "h").agg(F.count("*").alias("times")).join(lines, "h"))
-    own = W.partitionBy("a")
-    rarer = F.coalesce(F.sum("times").over(own.orderBy("df", "h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    # more than n - m + rarer lines are read with this one; a copy may lack (1 - CONTAINED) n
-    telling = mine.withColumn("m", F.sum("times").over(own)).withColumn("rarer", rarer).where(F.col("n") - F.col("m") + F.col("rarer") <= (1 - CONTAINED) * F.col("n") + 1e-6)
+    enough = matched.groupBy("a").agg(F.count("*").alias("m"), F.max("n").alias("n")).where(F.col("m") >= CONTAINED * F.col("n")).select("a", "m")
+    mine = staged(matched.join(enough, "a").join(rare, "h"))
+    # more than n - m + place lines are read with this one; a copy may lack (1 - CONTAINED) n
+    place = F.row_number().over(W.partitionBy("a").orderBy("df", "h"))
+    telling = mine.withColumn("place", place).where(F.col("n") - F.col("m") + F.col("place") - 1 <= (1 - CONTAINED) * F.col("n") + 1e-6)
     pairs = telling.select("a", "h").join(index, "h").select("a", "b").distinct()
     shared = (
         pairs.join(mine, "a").join(index, ["b", "h"])
-        .groupBy("a", "b").agg(F.sum("times").alias("shared"), F.max("n").alias("n"))
+        .groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
         .where(F.col("shared") >= CONTAINED * F.col("n"))
     )
     whole = classes.where("origin is not null and other is not null").select(F.col("class").alias("a"), F.col("class").alias("b"), F.col("n").alias("shared"), "n")
     origins = classes.where("origin is not null").select(F.col("class").alias("b"), "origin", "first_repo", "last_repo")
     elsewhere = (F.col("first_repo") != F.col("repo")) | (F.col("last_repo") != F.col("repo"))
+    code = F.lower(F.regexp_extract("relative_path", r"\.([A-Za-z0-9]+)$", 1)).isin(*CODE)
+    spread = classes.where((F.col("repos") >= SPREAD) & F.col("origin").isNull() & (F.col("n") >= SPREAD_LINES)).select(F.col("class").alias("a"), F.col("other").alias("origin"), F.col("n").alias("shared"), "n")
+    unmarked = files.where(~F.col("marked")).select("relative_path", "repo", F.col("class").alias("a"))
     return (
-        files.where(~F.col("marked")).select("relative_path", "repo", F.col("class").alias("a"))
-        .join(shared.unionByName(whole).join(origins, "b"), "a").where(elsewhere)
+        unmarked.join(shared.unionByName(whole).join(origins, "b"), "a").where(elsewhere).select("relative_path", "origin", "shared", "n")
+        .unionByName(unmarked.where(code).join(spread, "a").select("relative_path", "origin", "shared", "n"))
         .groupBy("relative_path")
         .agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("containment"), "origin")).alias("r"))
         .select("relative_path", "r.origin", F.round("r.containment", 6).alias("containment"))
@@ -265,7 +273,7 @@ def machine_made(chunks: DataFrame) -> DataFrame:
     metadata and extensions are passed over. The contents are read once.
     """
     rows = staged(chunk_measures(chunks))
-    known = staged(file_measures(rows).withColumn("why", reason()).select("relative_path", "repo", "why"))
+    known = staged(file_measures(rows).withColumn("why", reason()).select("relative_path", "repo", "why", "chunks"))
     edits = vendored_edits(rows.select("relative_path", "hs"), known)
     return known.join(edits, "relative_path", "left").select(
         "relative_path", "repo", F.coalesce("why", F.when(F.col("origin").isNotNull(), F.lit("vendored"))).alias("why"), "origin", "containment"

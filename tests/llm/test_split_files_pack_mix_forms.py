@@ -114,8 +114,8 @@ def test_edited_copies_of_a_library_in_many_variants_are_found(spark):
     assert got["src/third.py"].why is None
 
 
-def test_lines_of_many_chunks_count_once_each(spark):
-    """A line that a vendored file repeats in more than 50 chunks still leads to it, and counts once for each asking chunk."""
+def test_lines_of_many_chunks_count_once(spark):
+    """A line that a vendored file repeats in more than 50 chunks still leads to it, and counts once a file on either side."""
     word = lambda i: chr(97 + i % 26) + chr(97 + i // 26)
     lib = "\n".join(f"    step_{word(i)} = run(value_{word(i)}, mode)" for i in range(10))
     rows = [_chunk(i, f"{lib}\n    part_{word(i)} = begin(mode)", "vendor/lib/x.py", repo="r0", start=1 + 20 * i) for i in range(55)]
@@ -124,6 +124,26 @@ def test_lines_of_many_chunks_count_once_each(spark):
     assert got["src/edited.py"].why == "vendored" and abs(got["src/edited.py"].containment - 10 / 12) < 1e-6
 
 
+def test_lines_that_two_chunks_share_count_once(spark):
+    """Four of an asking file's twelve distinct lines are vendored: no copy, however often its chunks repeat these."""
+    word = lambda i: chr(97 + i % 26) + chr(97 + i // 26)
+    lib = [f"    step_{word(i)} = run(value_{word(i)}, mode)" for i in range(12)]
+    own = [f"    own_{word(i)} = call(other, mode)" for i in range(8)]
+    rows = [_chunk(0, "\n".join(lib), "vendor/lib/x.py", repo="r0"), _chunk(1, "\n".join(lib[:4]), "vendor/lib/x.py", repo="r0", start=40)]
+    rows += [_chunk(10 + i, "\n".join([*lib[:4], *(own if i == 0 else [])]), "src/mine.py", repo="own", start=1 + 20 * i) for i in range(9)]
+    rows += [_chunk(30, "\n".join(lib[:6]), "src/copy.py", repo="own"), _chunk(31, "\n".join(lib[4:12]), "src/copy.py", repo="own", start=9)]
+    got = {r.relative_path: r for r in p7_machine_made.machine_made(spark.createDataFrame(rows, CHUNKS)).collect()}
+    assert got["src/mine.py"].why is None and got["src/copy.py"].why == "vendored" and got["src/copy.py"].containment == 1
+
+
+def test_unmarked_files_of_many_repositories_are_nobodys_own(spark):
+    word = lambda i: chr(97 + i % 26) + chr(97 + i // 26)
+    lib = "\n".join(f"    step_{word(i)} = run(value_{word(i)}, mode)" for i in range(25))
+    rows = [_chunk(i, lib, f"lib/x{i}.py", repo=f"r{i}") for i in range(3)] + [_chunk(10 + i, lib.replace("step", "part"), f"lib/y{i}.py", repo=f"r{i % 2}") for i in range(4)] + [_chunk(20 + i, lib.replace("step", "word"), f"docs/z{i}.md", ".md", repo=f"r{i}") for i in range(3)]
+    got = {r.relative_path: r for r in p7_machine_made.machine_made(spark.createDataFrame(rows, CHUNKS)).collect()}
+    assert {k for k, r in got.items() if r.why} == {"lib/x0.py", "lib/x1.py", "lib/x2.py"} and got["lib/x2.py"].origin == "lib/x0.py"
+
+
 def test_notices_are_read_to_the_first_line_of_code(spark):
     notice, code = "// Code generated by maker v1. DO NOT EDIT.", "func add(a int, b int) int {\n\treturn a + b\n}\n"
     lines = "\n".join("// some words of a licence" for _ in range(30))
