@@ -139,17 +139,20 @@ class Packer:
         return done
 
 
-PACKED = "pack_name string, capacity_tokens long, container_id string, doc_id long, piece_no int, piece_start long, n_tokens long, place_in_container long, used long, room long"
+PACKED = "pack_name string, capacity_tokens long, container_id string, doc_id long, piece_no int, piece_start long, n_tokens long, place_in_container long, used long, room long, cell int"
+#: Of the place on the curve so many leading bits are the cell of the cube that a document is told by: 4 parts a dimension.
+CELL_BITS = 2 * DIMS
 
 
-def pack(documents: DataFrame, limits: DataFrame, ranks: str = RANKS, window: int = 2048, most_open: int = 512) -> DataFrame:
+def pack(documents: DataFrame, limits: DataFrame, ranks: str = RANKS, window: int = 32, most_open: int = 64, task_rows: int = 50_000) -> DataFrame:
     """One row per piece laid into a container, for each pack_name; containers are named by task and number.
 
     A document is whole unless it is longer than the capacity; then it is cut into parts that fill containers and a rest. used and
-    room are those of the container. A document without tokens takes no room: its container_id is null. The documents are sorted by
-    range of (place on the curve, doc_id), so that equal texts, however many, are spread over tasks; a task holds one window and
-    its open containers for each limit. Limits without a name or a positive capacity are none; a pack_name that comes twice counts once
-    (the smaller capacity holds).
+    room are those of the container; cell is where in the cube the document lies. A document without tokens takes no room: its container_id
+    is null. The documents are sorted by range of (place on the curve, doc_id), about `task_rows` a task, so that equal texts, however many,
+    are spread over tasks; a task holds one window of the curve, of `window` containers' tokens, and at most `most_open` open containers
+    for each limit: a container is filled from this stretch of the curve. Limits without a name or a positive capacity are none; a pack_name
+    that comes twice counts once (the smaller capacity holds).
     """
     rows = limits.where("pack_name is not null and capacity_tokens > 0").groupBy("pack_name").agg(F.min("capacity_tokens").alias("c"))
     packs = [(r.pack_name, int(r.c)) for r in rows.orderBy("pack_name").collect()]  # a configuration table: one row per kind of container
@@ -164,29 +167,54 @@ def pack(documents: DataFrame, limits: DataFrame, ranks: str = RANKS, window: in
 
         def frame(k: int, done: list[tuple]) -> pd.DataFrame:
             name, capacity = packs[k]
-            return pd.DataFrame([(name, capacity, f"{name}-{task}-{d[0]}", *d[1:]) for d in done], columns=columns)
+            return pd.DataFrame([(name, capacity, f"{name}-{task}-{d[0]}", *d[1:], cell_of[d[1]]) for d in done], columns=columns)
+
+        cell_of: dict[int, int] = {}  # of the documents that wait or stand open
+        waiting: list[list[tuple[int, int]]] = [[] for _ in packs]
+        tokens = [0] * len(packs)
 
         for p in parts:
-            empty = p[p.n_tokens == 0]
-            for name, capacity in packs if len(empty) else ():
-                yield pd.DataFrame([(name, capacity, None, i, 0, 0, 0, None, None, None) for i in empty.doc_id], columns=columns).astype(
+            cells = (p.place.to_numpy() >> (DIMS * BITS - CELL_BITS)).tolist()
+            ids, sizes = p.doc_id.tolist(), p.n_tokens.tolist()
+            empty = [(i, c) for i, n, c in zip(ids, sizes, cells, strict=True) if n == 0]
+            for name, capacity in packs if empty else ():
+                yield pd.DataFrame([(name, capacity, None, i, 0, 0, 0, None, None, None, c) for i, c in empty], columns=columns).astype(
                     {"place_in_container": "Int64", "used": "Int64", "room": "Int64"}
                 )
-            p = p[p.n_tokens > 0]
-            for lo in range(0, len(p), window):
-                rows = list(zip(p.doc_id.iloc[lo : lo + window].tolist(), p.n_tokens.iloc[lo : lo + window].tolist(), strict=True))
-                for k, packer in enumerate(packers):
-                    if done := packer.add(rows):
-                        yield frame(k, done)
+            live = {i for w in waiting for i, _ in w} | {r[0] for x in packers for h in x.held.values() for r in h}
+            cell_of = {i: c for i, c in cell_of.items() if i in live}
+            cell_of.update(zip(ids, cells, strict=True))
+            for k, packer in enumerate(packers):
+                done: list[tuple] = []
+                for i, n in zip(ids, sizes, strict=True):
+                    if n:
+                        waiting[k].append((i, n))
+                        tokens[k] += n
+                        if tokens[k] >= window * packer.capacity:
+                            done += packer.add(waiting[k])
+                            waiting[k], tokens[k] = [], 0
+                if done:
+                    yield frame(k, done)
         for k, packer in enumerate(packers):
-            if done := packer.close():
+            if done := packer.add(waiting[k]) + packer.close():
                 yield frame(k, done)
 
-    return keys.repartitionByRange("place", "doc_id").sortWithinPartitions("place", "doc_id").mapInPandas(run, PACKED)
+    tasks = max(1, -(-keys.count() // task_rows))
+    return keys.repartitionByRange(tasks, "place", "doc_id").sortWithinPartitions("place", "doc_id").mapInPandas(run, PACKED)
 
 
 def room_left(packed: DataFrame) -> DataFrame:
-    """One row per pack_name: documents, containers, tokens, room, and the share of the room."""
+    """One row per pack_name: documents, containers, tokens, room, the share of the room, and how near the documents of a container lie.
+
+    same_cell is the share of pairs of documents of one container that lie in one cell of the cube, by_chance that of all pairs.
+    """
+    own = packed.where("container_id is not null and piece_no = 0").groupBy("pack_name", "container_id", "cell").agg(F.count("*").alias("n"))
+    pairs = lambda c: F.sum(c * (c - 1))
+    total = F.sum("n")
+    inside = own.groupBy("pack_name", "container_id").agg(pairs(F.col("n")).alias("same"), (total * (total - 1)).alias("pairs"))
+    near = inside.groupBy("pack_name").agg(F.round(F.try_divide(F.sum("same"), F.sum("pairs")), 6).alias("same_cell"))
+    cells = own.groupBy("pack_name", "cell").agg(F.sum("n").cast("double").alias("n"))
+    chance = cells.groupBy("pack_name").agg(F.round(F.try_divide(pairs(F.col("n")), total * (total - 1)), 6).alias("by_chance"))
     return (
         packed.groupBy("pack_name", "capacity_tokens")
         .agg(
@@ -196,4 +224,6 @@ def room_left(packed: DataFrame) -> DataFrame:
             F.coalesce(F.sum(F.expr("case when place_in_container = 0 then room end")), F.lit(0)).alias("room"),
         )
         .withColumn("room_share", F.expr("round(room / nullif(room + tokens, 0), 6)"))
+        .join(near, "pack_name", "left")
+        .join(chance, "pack_name", "left")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import sql_code_tokens
 from quern.llm import p1_rank, p2_seen, p3_terms, p4_similar, p5_credentials, p6_split, p7_machine_made, p8_pack, p9_mix, p10_one_form
-from quern.staging import table
+from quern.staging import staged, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +81,7 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_room(spark: SparkSession, d: str) -> DataFrame:
-    return p8_pack.room_left(p8_packed(spark, d))
+    return p8_pack.room_left(staged(p8_packed(spark, d)))
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:

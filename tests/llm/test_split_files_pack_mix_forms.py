@@ -203,10 +203,26 @@ def test_pack_keeps_everything_whole(spark):
             pieces.setdefault(r.doc_id, []).append(r)
         assert all(len(p) == 1 or sizes[i] > capacity for i, p in pieces.items())
         summary = {r.pack_name: r for r in p8_pack.room_left(spark.createDataFrame(got, p8_pack.PACKED)).collect()}[name]
-        assert summary.containers == len(held) and summary.documents == len(texts) and summary.room_share < 0.05
+        assert summary.containers == len(held) and summary.documents == len(texts) and summary.room_share < 0.05 and summary.same_cell >= summary.by_chance
     assert p8_pack.pack(df.limit(0), limits).count() == 0 and p8_pack.pack(df, limits.limit(0)).count() == 0
 
 
+def test_containers_hold_neighbours_on_the_curve(spark, monkeypatch):
+    """Documents of ten vocabularies: a container's documents lie together, and no longer do when the curve's order is shuffled."""
+    rng = random.Random(3)
+    words = [[f"{a}{b}" for b in "abcdefghij"] for a in ("lo", "ka", "mi", "zu", "pe", "ra", "to", "vi", "ne", "su")]
+    texts = [" ".join(rng.choice(words[i % 10]) for _ in range(rng.randint(20, 60))) for i in range(1500)]
+    limits = spark.createDataFrame([("small", 500)], "pack_name string, capacity_tokens int")
+    df = _documents(spark, texts)
+    near = p8_pack.room_left(p8_pack.pack(df, limits, task_rows=400)).first()
+    keys = p8_pack.curve_keys
+    monkeypatch.setattr(p8_pack, "curve_keys", lambda d, r: keys(d, r).withColumn("cell", F.col("place")).withColumn("place", F.shiftrightunsigned(F.xxhash64("doc_id"), 4)))
+    far = p8_pack.pack(df, limits, task_rows=400).drop("cell").join(keys(df).select("doc_id", F.shiftright("place", 52).cast("int").alias("cell")), "doc_id")
+    far = p8_pack.room_left(far).first()
+    assert near.containers > 100 and near.room_share < 0.03 and near.by_chance == far.by_chance
+    assert near.same_cell > 2 * far.same_cell and far.same_cell < 1.3 * far.by_chance
+
+
 def test_mixture_reaches_its_shares(spark):
     rng = random.Random(4)
     texts = ["word " * rng.randint(5, 40) for _ in range(4000)] + [None, ""]
