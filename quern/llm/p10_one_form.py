@@ -8,38 +8,28 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Letters of one script that look like letters of another (Unicode Technical Standard 39), each row as
-# Latin, then Cyrillic, then Greek; a blank where a script has none.
+from quern.staging import staged
+
+# Letters of one script that look like letters of another (Unicode Technical Standard 39), each as Latin, Cyrillic, Greek,
+# Armenian; - where a script has none. Signs that are alike only in some typefaces (r and \u0433, k and \u03ba, u and \u03c5, y and \u04af) are left apart.
+SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian")
 LOOK_ALIKE = """
-a а α|c с ϲ|e е  |i і ι|j ј ϳ|o о ο|p р ρ|s ѕ  |x х  |y у  |h һ  |d ԁ  |q ԛ  |w ԝ  |l ӏ  |v ѵ ν|u  υ|r г  |k  κ
-A А Α|B В Β|C С Ϲ|E Е Ε|H Н Η|I І Ι|J Ј Ϳ|K К Κ|M М Μ|N  Ν|O О Ο|P Р Ρ|S Ѕ  |T Т Τ|X Х Χ|Y Ү Υ|Z  Ζ|G Ԍ  |Q Ԛ  |W Ԝ  |V Ѵ  
+aаα- cсϲ- eе-- g--ց hһ-հ iіι- jјϳյ lӏ-- n--ո oоοօ pрρ- qԛ-զ sѕ-- u--ս vѵν- wԝ-ա xх-- yу-- dԁ--
+AАΑ- BВΒ- CСϹ- EЕΕ- GԌ-- HНΗ- IІΙ- JЈͿ- KКΚ- LᏞ-Լ MМΜ- N-Ν- OОΟՕ PРΡ- QԚ-- SЅ-Տ TТΤ- U--Ս VѴ-- WԜ-- XХΧ- YҮΥ- Z-Ζ-
 """
-#: Not alike enough to be one sign: these stay what they are even in a mixed word of the other script.
-APART = {"r г", "k κ", "u υ", "y ү"}
-SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
 DASHES = "‐‑‒–−﹘﹣－˗⁃"
 APOSTROPHES = "‘’‛′ʼʹ＇΄᾽"
 QUOTES = "“”‟″＂"
 
 
 def _families() -> dict[str, tuple[str, ...]]:
-    """letter -> its spelling in (Latin, Cyrillic, Greek); '' where a script has none."""
-    out = {}
-    for row in LOOK_ALIKE.replace("\n", "|").split("|"):
-        if len(row) < 3:
-            continue
-        latin, cyrillic, greek = (row[0], row[2:3].strip(), row[4:5].strip())
-        if f"{latin} {cyrillic}" in APART:
-            cyrillic = ""
-        if f"{latin} {greek}" in APART:
-            greek = ""
-        for c in (latin, cyrillic, greek):
-            if c and (cyrillic or greek):
-                out[c] = (latin, cyrillic, greek)
-    return out
+    """letter -> its spelling in each of SCRIPTS; '' where a script has none."""
+    rows = [tuple("" if c == "-" else c for c in row) for row in LOOK_ALIKE.split()]
+    return {c: row for row in rows for c in row if c}
 
 
 FAMILY = _families()
@@ -74,17 +64,30 @@ def sign(c: str) -> str:
     return c
 
 
+#: Scripts of letters, as Unicode's Script_Extensions name them; letters of any other are told by the first word of their name.
+KNOWN = {
+    s: regex.compile(rf"\p{{Script_Extensions={s}}}")
+    for s in "Latin Cyrillic Greek Armenian Hebrew Arabic Han Hiragana Katakana Hangul Thai Devanagari Bengali Tamil Telugu Georgian Cherokee Coptic Ethiopic Khmer Lao Myanmar Tibetan Mongolian".split()
+}
+
+
+@lru_cache(maxsize=70_000)
+def scripts_of(c: str) -> frozenset[str]:
+    """The scripts that use a letter; none for marks and letters common to all."""
+    if "a" <= c <= "z" or "A" <= c <= "Z":
+        return frozenset(["Latin"])
+    if regex.match(r"\p{Script=Common}|\p{Script=Inherited}", c):
+        return frozenset()
+    found = frozenset(s for s, p in KNOWN.items() if p.match(c))
+    return found or frozenset([unicodedata.name(c, "?").split(" ", 1)[0]])
+
+
 @lru_cache(maxsize=70_000)
 def script_set(c: str) -> frozenset[str] | None:
     """The scripts in which a letter has a look-alike (its own included); None for one that binds to no script."""
     if c in FAMILY:
         return frozenset(s for s, x in zip(SCRIPTS, FAMILY[c], strict=True) if x)
-    name = unicodedata.name(c, "").split(" ", 1)[0]
-    return frozenset([name]) if unicodedata.category(c)[0] == "L" and name not in ("MODIFIER", "FEMININE", "MASCULINE") else None
-
-
-def own_script(c: str) -> str:
-    return unicodedata.name(c, "").split(" ", 1)[0]
+    return (scripts_of(c) or None) if unicodedata.category(c)[0] == "L" else None
 
 
 def resolved(word: str) -> frozenset[str] | None:
@@ -124,7 +127,7 @@ def one_form(text: str) -> str:
     if not plain:
         text = unicodedata.normalize("NFD", text)  # look-alikes are told by their letters; accents go along
         words = WORD.findall(text)
-        if any(own_script(c) not in ("LATIN", "COMBINING") for w in set(words) for c in w):
+        if any(scripts_of(c) - {"Latin"} for w in set(words) for c in w):
             votes = dict.fromkeys(SCRIPTS, 0)
             sets = {w: resolved(w) for w in set(words)}
             for w in words:
@@ -144,7 +147,7 @@ def _word(word: str, scripts: frozenset[str] | None, votes: dict[str, int]) -> s
         return spelled(word, able[0])
     if able:
         return spelled(word, max(able, key=lambda s: votes[s]))
-    return spelled(word, "LATIN") if not scripts and any(c in FAMILY for c in word) else word
+    return spelled(word, "Latin") if not scripts and any(c in FAMILY for c in word) else word
 
 
 def normalized(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -157,11 +160,17 @@ def normalized(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select(*rest, form(F.col(text)).alias("form"))
 
 
-def same_reading(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): pairs (a, b) of different strings with one form, by the digests of the strings; members (doc_id, text_key).
+#: Spellings of one form that one task pairs; a form with more is cut into parts.
+SPELLINGS = 2000
+
+
+def same_reading(documents: DataFrame, spellings: int = SPELLINGS) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs (a, b) of different strings with one form, by the digests of the strings; members (doc_id, form_key, text_key)
+    of the forms that have several strings.
 
     Blank texts have no sign to read and are in no pair. Equal strings are one class, whatever their number, and only
-    classes whose form has another string are paired; so a text with a third of all rows costs one row a task.
+    classes whose form has another string are paired; so a text with a third of all rows costs one row a task. A form of very many
+    spellings is cut into parts on one side, each of which meets the whole other side once.
     """
 
     def digest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,22 +182,26 @@ def same_reading(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
             keep = [i for i, f in enumerate(forms) if f]
             yield pd.DataFrame({"doc_id": p.doc_id.to_numpy()[keep], "text_key": [key(p.text.iloc[i]) for i in keep], "form_key": [key(forms[i]) for i in keep]})
 
-    from quern.staging import staged
-
     keyed = staged(documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(digest, "doc_id long, text_key binary, form_key binary"))
     strings = keyed.select("form_key", "text_key").distinct()
-    several = strings.groupBy("form_key").agg(F.count("*").alias("n")).where("n > 1").select("form_key")
-    variants = strings.join(several, "form_key", "left_semi")
-    pairs = (
-        variants.withColumnRenamed("text_key", "a")
-        .join(variants.withColumnRenamed("text_key", "b"), "form_key")
-        .where("a < b")
-        .select("a", "b")
-    )
-    members = keyed.join(several, "form_key", "left_semi").select("doc_id", "text_key").distinct()
+    several = staged(strings.groupBy("form_key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / spellings).cast("int")))
+    variants = staged(strings.join(several.select("form_key", "parts"), "form_key"))
+    left = variants.select("form_key", F.col("text_key").alias("a"), F.pmod(F.xxhash64("text_key"), F.col("parts")).cast("int").alias("part"))
+    right = variants.select("form_key", F.col("text_key").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = left.join(right, ["form_key", "part"]).where("a < b").select("a", "b")
+    members = staged(keyed.join(several.select("form_key"), "form_key", "left_semi").select("doc_id", "form_key", "text_key").distinct())
     return pairs, members
 
 
+def reading_classes(documents: DataFrame) -> DataFrame:
+    """(doc_id, reading, spelling): of each document whose text reads like a different string, the smallest doc_id of all that read the
+    same, and of those that are the same string. A document id with several texts is in several classes."""
+    _, members = same_reading(documents)
+    readings = members.groupBy("form_key").agg(F.min("doc_id").alias("reading"))
+    strings = members.groupBy("text_key").agg(F.min("doc_id").alias("spelling"))
+    return members.join(readings, "form_key").join(strings, "text_key").select("doc_id", "reading", "spelling")
+
+
 def found_pairs(documents: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b), the smaller first: documents whose texts are different strings but read the same."""
     pairs, members = same_reading(documents)

@@ -96,6 +96,10 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_one_form.found_pairs(table(spark, d, "documents"))
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    return p10_one_form.reading_classes(table(spark, d, "documents"))
+
+
 def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return p10_one_form.normalized(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "form")
 
@@ -103,7 +107,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (
         p1_found, p1_order, p2_found, p2_error, p3_found, p3_scores, p4_found, p4_nearest, p4_recall, p5_found, p5_redacted,
-        p6_found, p6_pieces, p7_found, p7_files, p8_packed, p8_room, p9_mixture, p9_shares, p10_found, p10_forms,
+        p6_found, p6_pieces, p7_found, p7_files, p8_packed, p8_room, p9_mixture, p9_shares, p10_found, p10_classes, p10_forms,
     )
     return {f.__name__: f for f in each}
 

@@ -256,6 +256,8 @@ SAME = [
     ("сбoрка индeкс", "сборка индекс"),
     ("Τhe meadοw", "The meadow"),
     ("САО pуthon", "CAO python"),
+    ("Νach der Ζone", "Nach der Zone"),
+    ("Տee the gսide", "See the guide"),
 ]
 
 
@@ -292,6 +294,11 @@ def test_found_pairs(spark):
     df = spark.createDataFrame(rows + rows[:4], "doc_id long, text string, form string")
     got = {tuple(r) for r in p10_one_form.found_pairs(df).collect()}
     assert got == {(0, 1), (0, 2), (1, 2), (8, 9)} | {(i, 310) for i in range(10, 310)}
+    many = spark.createDataFrame([(i, "e" * i + "е" * (40 - i)) for i in range(41)], "doc_id long, text string")  # one reading, 41 spellings
+    pairs, members = p10_one_form.same_reading(many, spellings=10)
+    assert pairs.count() == pairs.distinct().count() == 41 * 40 // 2 and members.count() == 41
+    classes = {r.doc_id: (r.reading, r.spelling) for r in p10_one_form.reading_classes(df).collect()}
+    assert classes == {0: (0, 0), 1: (0, 1), 2: (0, 2), 8: (8, 8), 9: (8, 9)} | {i: (10, 10) for i in range(10, 310)} | {310: (10, 310)}
     forms = {r.doc_id: r.form for r in p10_one_form.normalized(df).collect()}
     assert forms[4] is None and forms[5] == forms[6] == forms[7] == "" and forms[0] == forms[1] == forms[2]
     assert p10_one_form.found_pairs(df.limit(0)).count() == 0
