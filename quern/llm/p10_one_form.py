@@ -19,7 +19,7 @@ from quern.staging import staged
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian")
 LOOK_ALIKE = """
 aаα- cсϲ- eе-- g--ց hһ-հ iіι- jјϳյ lӏ-- n--ո oоοօ pрρ- qԛ-զ sѕ-- u--ս vѵν- wԝ-ա xх-- yу-- dԁ--
-AАΑ- BВΒ- CСϹ- EЕΕ- GԌ-- HНΗ- IІΙ- JЈͿ- KКΚ- LᏞ-Լ MМΜ- N-Ν- OОΟՕ PРΡ- QԚ-- SЅ-Տ TТΤ- U--Ս VѴ-- WԜ-- XХΧ- YҮΥ- Z-Ζ-
+AАΑ- BВΒ- CСϹ- EЕΕ- GԌ-- HНΗ- IІΙ- JЈͿ- KКΚ- L--Լ MМΜ- N-Ν- OОΟՕ PРΡ- QԚ-- SЅ-Տ TТΤ- U--Ս VѴ-- WԜ-- XХΧ- YУΥ- Z-Ζ-
 """
 DASHES = "‐‑‒–−﹘﹣－˗⁃"
 APOSTROPHES = "‘’‛′ʼʹ＇΄᾽"
