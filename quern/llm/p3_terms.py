@@ -11,51 +11,49 @@ from quern.staging import staged
 K1, B = 1.2, 0.75
 
 
-#: Candidate terms up to this number of bytes (as strings) are sent to all tasks; more are matched by shuffle.
-BROADCAST_BYTES = 32 << 20
+#: Rows of copies, and ids of candidates, up to this number (some 50 bytes each) are sent to all tasks; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
-def candidate_counts(chunks: DataFrame, terms: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(lengths, counts): (id, len) of each distinct chunk, and (id, term, tf, len) for the terms (term) that it has.
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df, to be sent to all tasks if it has no more than `most` rows. It must be staged."""
+    return F.broadcast(df) if df.count() <= most else df
 
-    The contents are tokenized once, where they lie. Each chunk gives a row without a term, for its length, and its occurrences; these
-    are kept only for the given terms before anything is shuffled, and counted before and after. What is shuffled is numbers and terms.
-    Copies of a chunk give the same counts once more, so that these are divided by the number of copies; of copies that disagree the
-    longest content holds, of equally long ones that with the larger hash.
+
+def tokenized(chunks: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(id, t): the code tokens of each distinct chunk id, staged. The contents are tokenized once, where they lie, and are not shuffled.
+
+    Null content has no tokens; rows without id are none. An id that comes twice counts once (of copies that disagree the longest content
+    holds, of equally long ones that with the larger hash): only ids, lengths and hashes are grouped to tell which rows are left out.
     """
-    size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 16), F.lit(0))).first()[0]
     content = F.coalesce("content", F.lit(""))
-    tokens = (
+    rows = staged(
         chunks.where("id is not null")
         .select("id", F.length(content).alias("n"), F.xxhash64(content).alias("h"), F.split(code_tokens(content), " ").alias("t"))
-        .select("id", "n", "h", F.expr("filter(t, x -> x <> '')").alias("t"))
+        .select(F.monotonically_increasing_id().alias("row"), "id", "n", "h", F.expr("filter(t, x -> x <> '')").alias("t"))
     )
-    rows = tokens.select("id", "n", "h", F.size("t").alias("len"), F.explode(F.expr("concat(array(cast(null as string)), t)")).alias("term"))
-    if size <= broadcast_bytes:
-        known = F.broadcast(terms.select("term", F.lit(True).alias("known")))
-        rows = rows.join(known, "term", "left").where("known or term is null")
-    else:  # two passes over the contents: lengths where they lie, occurrences by term
-        rows = tokens.select("id", "n", "h", F.size("t").alias("len"), F.lit(None).cast("string").alias("term")).unionByName(rows.where("term is not null").join(terms, "term", "left_semi"))
-    counted = staged(rows.groupBy("id", "n", "h", "len", "term").agg(F.count("*").alias("c")))
-    held = counted.where("term is null").groupBy("id").agg(F.max(F.struct("n", "h", "len", "c")).alias("r"))
-    held = held.select("id", "r.n", "r.h", "r.len", F.col("r.c").alias("copies"))
-    counts = counted.where("term is not null").drop("len").join(held, ["id", "n", "h"]).select("id", "term", (F.col("c") / F.col("copies")).cast("long").alias("tf"), "len")
-    return held.select("id", "len"), counts
-
-
-def distinctive_terms(chunks: DataFrame, candidates: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    held = rows.groupBy("id").agg(F.max(F.struct("n", "h", "row")).alias("r"), F.count("*").alias("copies")).where("copies > 1").select("id", F.col("r.row").alias("held"))
+    copies = staged(rows.select("id", "row").join(held, "id").where("row <> held").select("row"))
+    return rows.join(small(copies, broadcast_rows), "row", "left_anti").select("id", "t")
+
+
+def distinctive_terms(chunks: DataFrame, candidates: DataFrame, k1: float = K1, b: float = B, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(id, term, score, frequency, document_count) for each distinct candidate (id, term).
 
     frequency counts the term among the code tokens of the chunk, document_count the distinct chunks that have it;
     score = ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average)).
     N, df and the average length are those of all distinct chunk ids; a chunk with null content has no tokens. A term
     that the chunk lacks, or a chunk that is unknown, scores 0. Candidates without id or term are none. Rows that come
-    twice count once (see candidate_counts).
+    twice count once (see tokenized).
     """
     wanted = staged(candidates.where("id is not null and term is not null").select("id", "term").distinct())
-    lengths, counts = candidate_counts(chunks, staged(wanted.select("term").distinct()))
-    collection = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    tokens = tokenized(chunks, broadcast_rows)
+    collection = tokens.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("t")), F.lit(0.0)).alias("avg_len"))
+    terms, ids = (small(staged(wanted.select(c).distinct()), broadcast_rows) for c in ("term", "id"))
+    # each chunk's terms once; counted in each task before they are shuffled
+    df = tokens.select(F.explode(F.array_distinct("t")).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    asked = tokens.join(ids, "id", "left_semi").select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(terms, "term", "left_semi")
+    counts = asked.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     return (
         wanted.join(counts, ["id", "term"], "left")
         .join(df, "term", "left")

@@ -148,10 +148,8 @@ def test_terms_against_brute_force(spark):
     best = {r.id: r.term for r in p3_terms.most_distinctive(p3_terms.distinctive_terms(chunks, terms)).collect()}
     assert best == {"a": "get", "d": "x", "c": "user", "z": "user", "e": "x"}
     few = chunks.unionByName(spark.createDataFrame([("b", "user", 1)], "id string, content string, score int"))  # a copy that disagrees
-    wanted = terms.where("term is not null").select("term").distinct()
-    for most in (1 << 20, 0):  # sent to all tasks, and by shuffle
-        lengths, counts = p3_terms.candidate_counts(few, wanted, most)
-        assert {r.id: r.len for r in lengths.collect()} == {i: len(t) for i, t in tokens.items()}
-        assert {(r.id, r.term): r.tf for r in counts.collect()} == {(i, w): t.count(w) for i, t in tokens.items() for w in {*t} & {"user", "get", "nothing", "rare", "x"}}
+    for most in (1000, 0):  # sent to all tasks, and by shuffle
+        assert {r.id: r.t for r in p3_terms.tokenized(few, most).collect()} == tokens
+        assert {(r.id, r.term): r for r in p3_terms.distinctive_terms(few, terms, broadcast_rows=most).collect()} == got
     assert p3_terms.distinctive_terms(chunks.limit(0), terms).where("score > 0").count() == 0
     assert p3_terms.distinctive_terms(chunks, terms.limit(0)).count() == 0
