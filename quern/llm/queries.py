@@ -163,14 +163,6 @@ WITH v AS (
   SELECT id, min(list_transform(vector, lambda x: CAST(x AS DOUBLE))) AS v FROM vectors
   WHERE id IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(vector, lambda x: x * x)) > 0 GROUP BY id)
 SELECT a.id AS id_a, b.id AS id_b FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.95""",
-        "p4_groups": """
-WITH v AS (
-  SELECT id, min(list_transform(vector, lambda x: CAST(x AS DOUBLE))) AS v FROM vectors
-  WHERE id IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(vector, lambda x: x * x)) > 0 GROUP BY id),
-u AS (SELECT id, v, list_transform(v, lambda x: round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))) * 1048576)) AS k FROM v),
-c AS (SELECT k, min(id) AS rep, arg_min(v, id) AS v, count(*) AS copies FROM u GROUP BY k),
-p AS (SELECT a.rep AS rep, count(*) AS alike FROM c a JOIN c b ON a.rep <> b.rep WHERE list_cosine_similarity(a.v, b.v) >= 0.95 GROUP BY a.rep)
-SELECT id, rep, copies, coalesce(alike, 0) AS alike FROM u JOIN c USING (k) LEFT JOIN p USING (rep)""",
         "p6_found": """
 WITH c AS (SELECT language, min(chunk_size) AS size FROM splitter_config WHERE language IS NOT NULL AND chunk_size > 0 GROUP BY language),
 r AS (SELECT chunk_no, max(content) AS content, max(language) AS language FROM code_chunks WHERE chunk_no IS NOT NULL GROUP BY chunk_no)
