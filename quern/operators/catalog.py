@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -72,7 +74,14 @@ def select_rows(rows: DataFrame, expression: str = "", columns: list[str] | None
 
 
 class Store:
-    """Collections kept as Parquet in versioned folders: a change is written whole beside the old state and becomes valid with its marker."""
+    """Collections kept as Parquet parts and a list of them for each version.
+
+    A change is written beside what is there: rows that come as a new part, keys of rows that go as another. It becomes valid with the list
+    that names it, whose number only one writer can take; what a failed write leaves is in no list. After MOST_PARTS changes the parts are
+    written as one.
+    """
+
+    MOST_PARTS = 8
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
@@ -83,12 +92,42 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _versions(self, name: str) -> list[int]:
-        fs, p = self._fs(f"{self.folder}/{name}")
-        if not fs.exists(p):
-            return []
-        found = [s.getPath() for s in fs.listStatus(p)]
-        return sorted(int(x.getName()[1:]) for x in found if x.getName().startswith("v") and fs.exists(self._fs(f"{x}/_SUCCESS")[1]))
+    def _text(self, path: str) -> str:
+        fs, p = self._fs(path)
+        stream = fs.open(p)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _versions(self, name: str) -> dict[int, list[list[str]]]:
+        """The parts of each whole version: [kind, folder, key], oldest first."""
+        fs, p = self._fs(f"{self.folder}/{name}/lists")
+        out = {}
+        for s in fs.listStatus(p) if fs.exists(p) else []:
+            lines = self._text(s.getPath().toString()).splitlines()
+            if lines and lines[-1] == "end":  # else its writer is not done
+                out[int(s.getPath().getName())] = [x.split(" ") for x in lines[:-1]]
+        return dict(sorted(out.items()))
+
+    def _publish(self, name: str, number: int, parts: list[list[str]]) -> None:
+        fs, p = self._fs(f"{self.folder}/{name}/lists/{number}")
+        stream = fs.create(p, False)  # fails if another writer has taken the number
+        try:
+            stream.write(bytearray("\n".join([*(" ".join(x) for x in parts), "end"]), "utf-8"))
+        finally:
+            stream.close()
+        versions = self._versions(name)
+        kept = {x[1] for n in [*versions][-2:] for x in versions[n]}
+        for n in [*versions][:-2]:  # those of the last two versions stay for whoever reads them
+            for x in {x[1] for x in versions[n]} - kept:
+                fs.delete(self._fs(f"{self.folder}/{name}/{x}")[1], True)
+            fs.delete(self._fs(f"{self.folder}/{name}/lists/{n}")[1], True)
+
+    def _part(self, name: str, rows: DataFrame) -> str:
+        folder = f"part-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{name}/{folder}")
+        return folder
 
     def has(self, name: str) -> bool:
         return bool(self._versions(name))
@@ -101,21 +140,42 @@ class Store:
         versions = self._versions(name)
         if not versions:
             raise AnalysisException(f"no collection {name}")
-        return self.spark.read.parquet(f"{self.folder}/{name}/v{versions[-1]}")
+        return self._composed(name, versions[max(versions)])
+
+    def _composed(self, name: str, parts: list[list[str]]) -> DataFrame:
+        out: DataFrame | None = None
+        for kind, folder, key in parts:
+            df = self.spark.read.parquet(f"{self.folder}/{name}/{folder}")
+            if kind == "rows":
+                out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+            elif out is not None:
+                out = out.join(df, key, "left_anti").select(out.columns)
+        return out
 
     def write(self, name: str, rows: DataFrame) -> None:
-        """The collection's new state; older ones but the last are removed."""
+        """The collection's new state, whole."""
+        number = max(self._versions(name), default=0) + 1
+        self._publish(name, number, [["rows", self._part(name, rows), "-"]])
+
+    def change(self, name: str, gone: DataFrame | None = None, key: str = "id", rows: DataFrame | None = None) -> None:
+        """Rows whose `key` is in `gone` go, then `rows` come; only these are written. A collection that is not there begins with `rows`."""
         versions = self._versions(name)
-        rows.write.parquet(f"{self.folder}/{name}/v{(versions[-1] if versions else 0) + 1}")
-        for v in versions[:-1]:
-            fs, p = self._fs(f"{self.folder}/{name}/v{v}")
-            fs.delete(p, True)
+        number = max(versions, default=0)
+        parts = list(versions[number]) if versions else []
+        if gone is not None and parts:
+            parts.append(["gone", self._part(name, gone.select(key).where(F.col(key).isNotNull()).distinct()), key])
+        if rows is not None:
+            parts.append(["rows", self._part(name, rows), "-"])
+        if len(parts) > self.MOST_PARTS:
+            parts = [["rows", self._part(name, self._composed(name, parts)), "-"]]
+        if parts:
+            self._publish(name, number + 1, parts)
 
     def insert(self, name: str, rows: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(rows) if self.has(name) else rows)
+        self.change(name, rows=rows)
 
     def delete(self, name: str, ids: DataFrame) -> None:
-        self.write(name, self.read(name).join(ids.select("id"), "id", "left_anti"))
+        self.change(name, ids, "id")
 
     def drop(self, name: str) -> None:
         fs, p = self._fs(f"{self.folder}/{name}")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import trim_all
 from quern.operators.distributed_rank import rank_values
+from quern.staging import staged
 
 #: Tokens a provider takes; characters are estimated as four a token.
 MAX_TOKENS = {"openai": 8192, "gemini": 2048, "voyage": 32000, "ollama": 2048}
@@ -34,7 +35,9 @@ def content_hash(text: Column) -> Column:
 
 
 def reduced(vector: Column, dimension: int) -> Column:
-    """The first values of a nested embedding, at unit length; allowed are those of REDUCED_DIMENSIONS and, for shorter vectors, less."""
+    """The first values of a nested embedding, at unit length. Above the smallest of REDUCED_DIMENSIONS only these are allowed."""
+    if dimension > min(REDUCED_DIMENSIONS) and dimension not in REDUCED_DIMENSIONS:
+        raise ValueError(f"{dimension} is none of {REDUCED_DIMENSIONS}")
     head = F.transform(F.slice(vector, 1, dimension), lambda x: x.cast("double"))
     size = F.sqrt(F.aggregate(head, F.lit(0.0), lambda s, x: s + x * x))
     return F.transform(head, lambda x: F.coalesce(F.try_divide(x, size), F.lit(0.0)))
@@ -113,14 +116,24 @@ def stored(cache: DataFrame, new: DataFrame) -> DataFrame:
     return latest(new).unionByName(cache.join(new.select("content_hash").distinct(), "content_hash", "left_anti"))
 
 
-def embed_cached(rows: DataFrame, cache: DataFrame, embedder: Embedder, text: str = "content") -> tuple[DataFrame, DataFrame]:
-    """(rows with `vector`, the cache after it): what is cached is taken from there, each missing text embedded once."""
+CACHE = "content_hash string, embedding array<float>, dimension int, created_at timestamp"
+
+
+def embed_new(rows: DataFrame, cache: DataFrame, embedder: Embedder, text: str = "content") -> tuple[DataFrame, DataFrame]:
+    """(rows with `vector`, what is new for the cache): what is cached at the embedder's dimension is taken from there, each missing text
+    embedded once. Nothing that is cached is embedded again; the new rows are staged."""
     keyed = rows.withColumn("content_hash", content_hash(F.coalesce(F.col(text), F.lit(""))))
-    missing = keyed.join(cache.where("embedding is not null").select("content_hash"), "content_hash", "left_anti").groupBy("content_hash").agg(F.first(text).alias(text))
-    made = embed(missing, embedder, text).select("content_hash", F.col("vector").alias("embedding"), F.size("vector").alias("dimension"), F.current_timestamp().alias("created_at"))
-    after = stored(cache, made)
-    vectors = hits(keyed.select("content_hash").distinct(), after)
-    return keyed.join(vectors, "content_hash", "left").withColumnRenamed("embedding", "vector").drop("content_hash"), after
+    known = latest(cache.where(F.col("embedding").isNotNull() & (F.col("dimension") == embedder.dimension())))
+    missing = keyed.join(known.select("content_hash"), "content_hash", "left_anti").groupBy("content_hash").agg(F.first(text).alias(text))
+    made = staged(embed(missing, embedder, text).select("content_hash", F.col("vector").alias("embedding"), F.size("vector").alias("dimension"), F.current_timestamp().alias("created_at")))
+    vectors = known.select("content_hash", "embedding").unionByName(made.select("content_hash", "embedding"))
+    return keyed.join(vectors, "content_hash", "left").withColumnRenamed("embedding", "vector").drop("content_hash"), made
+
+
+def embed_cached(rows: DataFrame, cache: DataFrame, embedder: Embedder, text: str = "content") -> tuple[DataFrame, DataFrame]:
+    """(rows with `vector`, the cache after it)."""
+    out, made = embed_new(rows, cache, embedder, text)
+    return out, stored(cache, made)
 
 
 def cache_stats(cache: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def grep(files: DataFrame, pattern: str, key: str = "relative_path", include: str | None = None) -> DataFrame:
-    """(key, line_number from 1, line_content, match) of every line that matches; `include` is a regular expression over the key."""
+    """(key, line_number from 1, line_content, match) of every line that matches, each line by itself (so ^ and $ are its ends);
+    `include` is a regular expression over the key."""
     used = files if include is None else files.where(F.col(key).rlike(include))
-    lines = used.where(F.col("content").rlike(pattern)).select(key, F.posexplode(F.split("content", "\n")).alias("n", "line_content"))
+    lines = used.select(key, F.posexplode(F.split("content", "\n")).alias("n", "line_content"))
     return lines.where(F.col("line_content").rlike(pattern)).select(key, (F.col("n") + 1).alias("line_number"), "line_content", F.regexp_extract("line_content", f"({pattern})", 1).alias("match"))
 
 
@@ -24,12 +25,12 @@ def read_slice(content: Column, offset: int | None, limit: int | None) -> Column
 
 
 def list_directory(files: DataFrame, directory: str = "") -> DataFrame:
-    """(name, kind): entries of a directory; those with further paths below are directories."""
+    """(name, kind): entries of a directory; those with further paths below are directories. Directories first, then by name without case."""
     base = directory.strip("/")
     rest = F.col("relative_path") if not base else F.substring("relative_path", len(base) + 2, 1 << 30)
     inside = files if not base else files.where(F.col("relative_path").startswith(base + "/"))
     kind = F.when(F.instr(rest, "/") > 0, "directory").otherwise("file")
-    return inside.select(F.regexp_extract(rest, "^[^/]+", 0).alias("name"), kind.alias("kind")).distinct()
+    return inside.select(F.regexp_extract(rest, "^[^/]+", 0).alias("name"), kind.alias("kind")).distinct().orderBy("kind", F.lower("name"), "name")
 
 
 def directory_tree(files: DataFrame, depth: int = 3) -> DataFrame:

@@ -94,3 +94,13 @@ def after_change(collection: DataFrame, changes: DataFrame, new_chunks: DataFram
 def progress(done: Column, of: Column) -> Column:
     """Percent of an indexing run: 10 after the scan, then up to 100 over the files."""
     return F.when(of == 0, F.lit(100)).otherwise(F.round(10 + 90 * done / of)).cast("int")
+
+
+def progress_percent(done: int, of: int) -> int:
+    """progress of two numbers."""
+    return 100 if of == 0 else round(10 + 90 * done / of)
+
+
+def unchanged(before: DataFrame, after: DataFrame) -> bool:
+    """Whether the roots of two snapshots are equal: then nothing needs to be compared."""
+    return not changed(before, after)

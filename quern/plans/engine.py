@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 from quern.functions import paths, query_prep
 from quern.functions.text import trim_all
 from quern.operators import bm25, chunking, dense, embedding, filters, fusion, prf, sync
+from quern.operators import catalog as states
 from quern.operators.catalog import Store
 from quern.sources import files as sources
-from quern.staging import staged
+from quern.staging import once, staged
+
+#: The catalog's rows, as index and reindex write them.
+CATALOG = (
+    "codebase_path string, status string, indexed_files int, total_chunks int, index_status string, indexing_percentage double, error_message string, "
+    "last_attempted_percentage double, collection_name string"
+)
 
 
 def results_of(found: DataFrame, rows: DataFrame) -> DataFrame:
@@ -21,25 +28,27 @@ def results_of(found: DataFrame, rows: DataFrame) -> DataFrame:
     return found.join(fields, "id")
 
 
-def hybrid_search(rows: DataFrame, vectors: DataFrame, queries: DataFrame, top: int = 5, fetch: int = 50, k: int = 60, dim: int = 64) -> DataFrame:
+def hybrid_search(rows: DataFrame, vectors: DataFrame, index: tuple[DataFrame, DataFrame], queries: DataFrame, top: int = 5, fetch: int = 50, k: int = 60, dim: int = 64, among: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank, ...) for queries (query_id, text, vector): the `fetch` best by cosine and by BM25, fused by reciprocal
-    ranks, weighed by kind of file, the `top` best. rows must be distinct by id; a filter is put on rows and vectors before."""
+    ranks, weighed by kind of file, the `top` best. rows must be distinct by id; index: stored postings and their statistics (bm25). `among` (id):
+    only these are searched, vectors as well as postings. Contents are looked up for the results only, if at all."""
+    if among is not None:
+        vectors = vectors.join(among.select("id"), "id", "left_semi")
     lists = (
         dense.top_k(vectors, queries, fetch, dim).select("query_id", F.lit(0).alias("list_no"), "id", "rank")
-        .unionByName(bm25.top_k(rows, queries, fetch).select("query_id", F.lit(1).alias("list_no"), "id", "rank"))
+        .unionByName(bm25.top_k_of(*index, queries, fetch, among).select("query_id", F.lit(1).alias("list_no"), "id", "rank"))
     )
-    fused = fusion.reciprocal_ranks(lists, k, fetch)
+    fused = staged(fusion.reciprocal_ranks(lists, k, fetch))
     return fusion.weigh_files(results_of(fused, rows)).where(F.col("rank") <= top)
 
 
 def distinct_rows(rows: DataFrame) -> DataFrame:
-    """Stored rows, each id once."""
-    rest = [c for c in rows.columns if c != "id"]
-    return rows.where("id is not null").groupBy("id").agg(F.max(F.struct(*rest)).alias("r")).select("id", "r.*")
+    """Stored rows, each id once: of rows that disagree the one whose fields sort last."""
+    return once(rows, "id", lambda rest: F.max(F.struct(*rest)))
 
 
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
-    return vectors.where("id is not null and vector is not null").groupBy("id").agg(F.min("vector").alias("vector"))
+    return once(vectors.where("vector is not null").select("id", "vector"), "id", lambda rest: F.min(F.struct(*rest)))
 
 
 @dataclass(frozen=True)
@@ -52,6 +61,8 @@ class Settings:
     preprocessing: bool = True
     feedback: bool = False
     reranking: bool = False
+    #: At most so many chunks of a codebase; None: all.
+    chunk_limit: int | None = None
 
 
 @dataclass(frozen=True)
@@ -90,56 +101,121 @@ class Engine:
         return self.store.has(self.collection(codebase))
 
     def clear(self, codebase: str) -> None:
-        for name in (self.collection(codebase), self.collection(codebase) + "_files"):
-            if self.store.has(name):
-                self.store.drop(name)
+        name = self.collection(codebase)
+        for part in (name, name + "_files", name + "_postings"):
+            if self.store.has(part):
+                self.store.drop(part)
+        if self.store.has("catalog"):
+            self.store.change("catalog", self.spark.createDataFrame([(codebase,)], "codebase_path string"), "codebase_path")
+
+    # --- the catalog
+
+    def _record(self, codebase: str, status: str, **fields) -> None:
+        """Replace the codebase's row of the catalog."""
+        row = {"codebase_path": codebase, "status": status, "collection_name": self.collection(codebase), **fields}
+        rows = self.spark.createDataFrame([tuple(row.get(f.split()[0]) for f in CATALOG.split(", "))], CATALOG).withColumn("last_updated", F.current_timestamp())
+        self.store.change("catalog", rows.select("codebase_path"), "codebase_path", rows)
+
+    def catalog(self) -> DataFrame:
+        """The state of every codebase that was indexed here."""
+        if not self.store.has("catalog"):
+            return self.spark.createDataFrame([], CATALOG + ", last_updated timestamp")
+        return self.store.read("catalog")
+
+    def status(self, codebase: str) -> str:
+        """What the catalog says of a codebase, in words."""
+        found = states.status_text(self.catalog().where(F.col("codebase_path") == codebase)).first()
+        return found.message if found else "not indexed"
 
     # --- indexing
 
-    def _rows(self, files: DataFrame, codebase: str) -> DataFrame:
-        code = sources.code_files(files, self.settings.extensions, self.settings.ignore)
-        chunks = chunking.split_files(code, self.settings.splitter).where(trim_all(F.col("content")) != "")
-        return embedding.embed(chunking.rows_to_store(chunks, codebase), self.settings.embedder)
+    def _chunks(self, code: DataFrame) -> DataFrame:
+        return chunking.split_files(code, self.settings.splitter).where(trim_all(F.col("content")) != "")
+
+    def _embedded(self, rows: DataFrame) -> DataFrame:
+        """Rows with vectors: what was embedded before comes from the cache, what was not goes into it."""
+        cache = self.store.read("embedding_cache") if self.store.has("embedding_cache") else self.spark.createDataFrame([], embedding.CACHE)
+        out, made = embedding.embed_new(rows, cache, self.settings.embedder)
+        self.store.change("embedding_cache", rows=made)
+        return out
+
+    def _posted(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows with the number of their terms, their postings laid out by term)."""
+        found, _ = bm25.postings(rows.select("id", "content", "relative_path"), "relative_path")
+        laid = found.repartitionByRange("term").sortWithinPartitions("term")
+        return rows.withColumn("n_terms", F.size(bm25.terms(F.coalesce("content", F.lit(""))))), laid
 
     def index(self, codebase: str, files: DataFrame | None = None, force: bool = False) -> Indexed:
-        """Index a folder (or given files (relative_path, content)). An index that is there is kept unless force is set."""
+        """Index a folder (or given files (relative_path, content)). An index that is there is kept unless force is set.
+
+        The catalog tells from the first step on how far it is, and of a failure why. With a limit of chunks, files that are not stored
+        whole are not in the snapshot, so that the next reindex finds them.
+        """
         name = self.collection(codebase)
-        if self.has_index(codebase) and not force:
-            rows = self.store.read(name)
-        else:
-            if files is None:
-                files = sources.read_folder(self.spark, codebase)
-                self.add_ignore(sources.read_ignore_files(self.spark, codebase))
-            code = sources.code_files(files, self.settings.extensions, self.settings.ignore)
-            chunks, status = chunking.capped(chunking.split_files(code, self.settings.splitter).where(trim_all(F.col("content")) != ""))
-            self.store.write(name, embedding.embed(chunking.rows_to_store(chunks, codebase), self.settings.embedder))
-            self.store.write(name + "_files", sync.snapshot(code))  # published after the rows it stands for
-            rows = self.store.read(name)
-            counts = rows.agg(F.count_distinct("relative_path"), F.count("*")).first()
-            return Indexed(counts[0], counts[1], status)
-        counts = rows.agg(F.count_distinct("relative_path"), F.count("*")).first()
-        return Indexed(counts[0], counts[1], "completed")
+        status = "completed"
+        if not self.has_index(codebase) or force:
+            self._record(codebase, "indexing", indexing_percentage=0.0)
+            try:
+                status = self._index(codebase, name, files)
+            except Exception as e:
+                self._record(codebase, "indexfailed", error_message=str(e)[:1000], last_attempted_percentage=0.0)
+                raise
+        counts = self.store.read(name).agg(F.count_distinct("relative_path"), F.count("*")).first()
+        self._record(codebase, "indexed", indexed_files=counts[0], total_chunks=counts[1], index_status=status)
+        return Indexed(counts[0], counts[1], status)
+
+    def _index(self, codebase: str, name: str, files: DataFrame | None) -> str:
+        if files is None:
+            files = sources.read_folder(self.spark, codebase)
+            self.add_ignore(sources.read_ignore_files(self.spark, codebase))
+        code = sources.code_files(files, self.settings.extensions, self.settings.ignore)
+        chunks, status, left_out = staged(self._chunks(code)), "completed", None
+        self._record(codebase, "indexing", indexing_percentage=float(sync.progress_percent(1, 4)))
+        if self.settings.chunk_limit is not None:
+            kept, status = chunking.capped(chunks, self.settings.chunk_limit)
+            if status != "completed":
+                kept = staged(kept)
+                place = ["relative_path", "chunk_index"]
+                left_out = chunks.join(kept.select(place), place, "left_anti").select("relative_path").distinct()
+                chunks = kept
+        rows = staged(self._embedded(staged(distinct_rows(chunking.rows_to_store(chunks, codebase)))))
+        self._record(codebase, "indexing", indexing_percentage=float(sync.progress_percent(2, 4)))
+        rows, found = self._posted(rows)
+        self.store.write(name + "_postings", found)
+        self._record(codebase, "indexing", indexing_percentage=float(sync.progress_percent(3, 4)))
+        snapshot = sync.snapshot(code)
+        self.store.write(name + "_files", snapshot if left_out is None else snapshot.join(left_out, "relative_path", "left_anti"))
+        self.store.write(name, rows)  # the index is there from now on
+        return status
 
     def reindex(self, codebase: str, files: DataFrame | None = None, only: list[str] | None = None) -> dict[str, int]:
-        """Bring an index in step with its files: numbers of added, modified and removed ones. `only`: files or folders to look at."""
+        """Bring an index in step with its files: numbers of added, modified and removed ones. `only`: files or folders to look at.
+
+        Only chunks, postings and hashes of the files that changed are written. Equal roots of the two snapshots' trees end it at once.
+        """
         name = self.collection(codebase)
         files = sources.read_folder(self.spark, codebase) if files is None else files
         code = sources.code_files(files, self.settings.extensions, self.settings.ignore)
-        before, after = self.store.read(name + "_files"), sync.snapshot(code)
+        before, after = self.store.read(name + "_files"), staged(sync.snapshot(code))
+        same = only is None and sync.unchanged(before, after)
         differences = sync.compare(before, after)
         if only is not None:
             under = F.lit(False)
             for p in only:
                 under = under | (F.col("relative_path") == p) | F.col("relative_path").startswith(p.rstrip("/") + "/")
             differences = differences.where(under)
-        differences = staged(differences)
-        counts = {r["change"]: r["count"] for r in differences.groupBy("change").count().collect()}
+        differences = staged(differences) if not same else None
+        counts = {} if same else {r["change"]: r["count"] for r in differences.groupBy("change").count().collect()}
         if counts:
-            touched = differences.where("change <> 'removed'").select("relative_path")
-            new = self._rows(files.join(touched, "relative_path", "left_semi"), codebase)
-            self.store.write(name, sync.after_change(self.store.read(name), differences, new))
-            kept = before.join(differences.select("relative_path"), "relative_path", "left_anti")
-            self.store.write(name + "_files", kept.unionByName(after.join(touched, "relative_path", "left_semi")))
+            gone, touched = differences.select("relative_path"), differences.where("change <> 'removed'").select("relative_path")
+            chunks = self._chunks(code.join(touched, "relative_path", "left_semi"))
+            rows = staged(self._embedded(staged(distinct_rows(chunking.rows_to_store(chunks, codebase)))))
+            rows, found = self._posted(rows)
+            self.store.change(name + "_postings", gone, "relative_path", found)
+            self.store.change(name, gone, "relative_path", rows)
+            self.store.change(name + "_files", gone, "relative_path", after.join(touched, "relative_path", "left_semi"))
+            totals = self.store.read(name).agg(F.count_distinct("relative_path"), F.count("*")).first()
+            self._record(codebase, "indexed", indexed_files=totals[0], total_chunks=totals[1], index_status="completed")
         return {c: counts.get(c, 0) for c in ("added", "modified", "removed")}
 
     # --- searching
@@ -154,31 +230,34 @@ class Engine:
             return self.spark.createDataFrame([], "query_id long, rank int, score double, content string, relative_path string, start_line long, end_line long, language string")
         rows = self.store.read(name)
         condition = filters.parse(filter_expression)
-        rows = rows if condition is None else rows.where(condition)
+        among = None if condition is None else staged(rows.where(condition).select("id"))
         prepared = queries.select("query_id", "text")
         if s.preprocessing:
             p = query_prep.best(query_prep.preprocess(prepared))
             prepared = query_prep.top(p).select("query_id", F.when(F.col("multi"), F.get("top", F.lit(0))).otherwise(F.col("best")).alias("text"))
         if not s.feedback:
-            return self._search(rows, prepared, top, threshold)
-        first = staged(self._search(rows, prepared, max(12, 2 * top), 0.8 * threshold))  # read three times
+            return self._search(name, rows, among, prepared, top, threshold)
+        first = staged(self._search(name, rows, among, prepared, max(12, 2 * top), 0.8 * threshold))  # read three times
         expanded = prf.expand(prepared, first.select("query_id", F.col("rank").alias("doc"), "content"))
         again = expanded.where(F.size("terms") > 0).select("query_id", F.col("expanded").alias("text"))
-        second = self._search(rows, again, top, threshold)
+        second = self._search(name, rows, among, again, top, threshold)
         key = ["relative_path", "start_line", "end_line"]
         merged = fusion.merge_ordered(second.select("query_id", *key, "rank"), first.select("query_id", *key, "rank"), key, top)
         both = second.withColumn("source", F.lit(0)).unionByName(first.withColumn("source", F.lit(1))).drop("rank")
         return merged.join(both, ["query_id", *key, "source"]).select("query_id", "rank", "score", "content", *key, "language")
 
-    def _search(self, rows: DataFrame, queries: DataFrame, top: int, threshold: float) -> DataFrame:
+    def _search(self, name: str, rows: DataFrame, among: DataFrame | None, queries: DataFrame, top: int, threshold: float) -> DataFrame:
         s = self.settings
         fetch = fusion.candidates(top, s.hybrid, s.reranking)
         asked = embedding.embed(queries, s.embedder, "text")
         dim = s.embedder.dimension()
         if s.hybrid:
-            found = hybrid_search(rows.drop("vector"), rows.select("id", "vector"), asked, fetch, max(fetch, 10), 60, dim)
+            index = self.store.read(name + "_postings"), bm25.statistics(rows.select(F.col("n_terms").alias("dl")))
+            found = hybrid_search(rows, rows.select("id", "vector"), index, asked, fetch, max(fetch, 10), 60, dim, among)
         else:
-            found = results_of(dense.top_k(rows.select("id", "vector"), asked, fetch, dim, threshold), rows)
+            vectors = rows.select("id", "vector")
+            vectors = vectors if among is None else vectors.join(among, "id", "left_semi")
+            found = results_of(dense.top_k(vectors, asked, fetch, dim, threshold), rows)
         if s.reranking:
             texts = found.join(queries, "query_id").withColumn("doc", fusion.rerank_text(F.col("relative_path"), F.col("content")))
             found = fusion.rerank(texts, top).drop("text", "doc", "rerank_score")

@@ -9,7 +9,7 @@ from quern.functions import paths, query_prep
 from quern.functions.text import sql_code_tokens
 from quern.operators import bm25, catalog, dense, fusion, prf, reading
 from quern.plans.engine import distinct_rows, distinct_vectors, hybrid_search, results_of
-from quern.staging import table
+from quern.staging import once, staged, table
 
 #: A fixed query vector, for searches with one query.
 AXIS = [round(((7 * i) % 13 - 6) / 10, 1) for i in range(64)]
@@ -23,6 +23,18 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return distinct_vectors(table(spark, d, "vectors"))
 
 
+_indexes: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The corpus's postings, laid out by term, and their statistics: written once a session, as the engine writes them when it indexes."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        found, lengths = bm25.postings(_rows(spark, d).select("id", "content"))
+        _indexes[key] = staged(found.repartitionByRange("term").sortWithinPartitions("term")), staged(bm25.statistics(lengths))
+    return _indexes[key]
+
+
 def _lists(spark: SparkSession, d: str) -> DataFrame:
     """ranked, each entry once, with finite scores that are all the better the larger, and ranks from them."""
     s = F.when(F.col("metric") == "L2", -F.col("score")).otherwise(F.col("score"))
@@ -32,7 +44,7 @@ def _lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flagship_hybrid_search(spark, d):
-    found = hybrid_search(_rows(spark, d), _vectors(spark, d), table(spark, d, "queries"), top=10, fetch=20)
+    found = hybrid_search(_rows(spark, d), _vectors(spark, d), _index(spark, d), table(spark, d, "queries"), top=10, fetch=20)
     return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"), "relative_path", "start_line", "end_line", "language")
 
 
@@ -54,13 +66,13 @@ def dense_filtered(spark, d):
 
 
 def cosine_kernel(spark, d):
-    q = table(spark, d, "queries").where("query_id = 1").select(F.col("vector").alias("q"))
-    rows = table(spark, d, "vectors").where("vector is not null and not exists(vector, x -> x is null or isnan(x))").groupBy("id").agg(F.min("vector").alias("vector"))
-    return rows.crossJoin(F.broadcast(q)).select("id", F.round(dense.cosine(F.col("vector"), F.col("q")), 6).alias("score"))  # q: one row
+    """The kernel by itself, over all rows: against the fixed vector, whose dimension not every row has."""
+    rows = once(table(spark, d, "vectors").where("vector is not null and not exists(vector, x -> x is null or isnan(x))").select("id", "vector"), "id", lambda rest: F.min(F.struct(*rest)))
+    return rows.select("id", F.round(dense.cosine(F.col("vector"), F.array(*map(F.lit, AXIS))), 6).alias("score"))
 
 
 def bm25_topk(spark, d):
-    return bm25.top_k(_rows(spark, d).select("id", "content"), table(spark, d, "queries"), 10)
+    return bm25.top_k_of(*_index(spark, d), table(spark, d, "queries"), 10)
 
 
 def rrf_fusion(spark, d):
@@ -121,7 +133,7 @@ def merge_dedupe_topk(spark, d):
 
 
 def match_class(spark, d):
-    return _lists(spark, d).where("metric = 'COSINE'").select("query_id", "id", fusion.match_class(F.round(F.col("score") * 100)).alias("class"))
+    return _lists(spark, d).select("query_id", "list_no", "id", fusion.match_class(F.round(F.col("score") * 100)).alias("class"))
 
 
 def parent_index(spark, d):
@@ -163,14 +175,12 @@ def prf_reasoning(spark, d):
 
 
 def prf_two_pass(spark, d):
-    """The first pass, its expansion, and the second pass merged before it."""
-    rows, vectors, asked = _rows(spark, d), _vectors(spark, d), table(spark, d, "queries").where("text is not null").select("query_id", "text", "vector")
-    from quern.staging import staged
-
-    first = staged(hybrid_search(rows, vectors, asked, top=12, fetch=20).select("query_id", "id", "rank", "content"))
-    grown = prf.expand(asked, first.select("query_id", F.col("rank").alias("doc"), "content")).where(F.size("terms") > 0)
-    again = grown.select("query_id", F.col("expanded").alias("text")).join(asked.select("query_id", "vector"), "query_id")
-    second = hybrid_search(rows, vectors, again, top=5, fetch=20)
+    """The first pass, its expansion, and the second pass merged before it. Queries without text have a first pass only, by their vectors."""
+    rows, vectors, index, asked = _rows(spark, d), _vectors(spark, d), _index(spark, d), table(spark, d, "queries").select("query_id", "text", "vector")
+    first = staged(hybrid_search(rows, vectors, index, asked, top=12, fetch=20).select("query_id", "id", "rank", "content"))
+    grown = prf.expand(asked.where("text is not null"), first.select("query_id", F.col("rank").alias("doc"), "content")).where(F.size("terms") > 0)
+    again = staged(grown.select("query_id", F.col("expanded").alias("text")).join(asked.select("query_id", "vector"), "query_id"))
+    second = hybrid_search(rows, vectors, index, again, top=5, fetch=20)
     return fusion.merge_ordered(second.select("query_id", "id", "rank"), first.select("query_id", "id", "rank"), ["id"], 5).select("query_id", "id", "rank")
 
 
@@ -232,7 +242,7 @@ def _dense_sql(k: int, source: str = "vs", least: str = "") -> str:
 
 
 def _bm25_sql(k: int) -> str:
-    words = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9_]+'), lambda w: w <> '')"
+    words = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}_]+'), lambda w: w <> '')"
     return f"""
 asked AS (SELECT DISTINCT query_id, unnest({words('text')}) AS term FROM qs),
 toks AS (SELECT id, {words("coalesce(content, '')")} AS t FROM rows),
@@ -348,8 +358,8 @@ def oracle_sql() -> dict[str, str]:
         "dense_topk_batch": f"WITH {VECTORS} {_dense_sql(10)}",
         "dense_threshold": f"WITH {VECTORS} {_dense_sql(20, least='WHERE score >= 0.3')}",
         "dense_filtered": f"WITH {ROWS}, {VECTORS}, vf AS (SELECT * FROM vs WHERE id IN (SELECT id FROM rows WHERE file_extension IN ('.ts', '.py') AND start_line < 50)) {_dense_sql(5, 'vf')}",
-        "cosine_kernel": """WITH v AS (SELECT id, min(vector) AS v FROM vectors WHERE vector IS NOT NULL AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) = 0 GROUP BY id),
-q AS (SELECT vector AS q FROM queries WHERE query_id = 1),
+        "cosine_kernel": f"""WITH v AS (SELECT id, min(vector) AS v FROM vectors WHERE vector IS NOT NULL AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) = 0 GROUP BY id),
+q AS (SELECT {axis}::DOUBLE[] AS q),
 p AS (SELECT id, list_transform(list_slice(v, 1, least(len(v), len(q))), lambda x: CAST(x AS DOUBLE)) AS a, list_transform(list_slice(q, 1, least(len(v), len(q))), lambda x: CAST(x AS DOUBLE)) AS b FROM v, q)
 SELECT id, round(CASE WHEN list_sum(list_transform(a, lambda x: x * x)) = 0 OR list_sum(list_transform(b, lambda x: x * x)) = 0 THEN 0 ELSE list_cosine_similarity(a, b) END, 6) AS score FROM p""",
         "bm25_topk": f"WITH {ROWS}, {VECTORS}, {_bm25_sql(10)} SELECT * FROM bm",
@@ -368,7 +378,7 @@ SELECT query_id, rank, id, md5(concat(rank, '. Code snippet (', language, ') [al
         "filter_default_limit": f"WITH {ROWS} SELECT id, file_extension FROM rows ORDER BY id LIMIT 16384",
         "merge_dedupe_topk": f"""WITH {LISTS}, u AS (SELECT query_id, id, min(struct_pack(source := 1 - list_no, rank := rank)) AS a FROM lists WHERE list_no IN (0, 1) GROUP BY query_id, id)
 SELECT query_id, id, a.source AS source, row_number() OVER (PARTITION BY query_id ORDER BY a.source, a.rank, id) AS rank FROM u QUALIFY rank <= 10""",
-        "match_class": f"WITH {LISTS} SELECT query_id, id, CASE WHEN round(score * 100) >= 80 THEN 'high' WHEN round(score * 100) >= 60 THEN 'medium' ELSE 'low' END AS class FROM lists WHERE metric = 'COSINE'",
+        "match_class": f"WITH {LISTS} SELECT query_id, list_no, id, CASE WHEN round(score * 100) >= 80 THEN 'high' WHEN round(score * 100) >= 60 THEN 'medium' ELSE 'low' END AS class FROM lists",
         "parent_index": """WITH cat AS (SELECT codebase_path, status FROM index_catalog QUALIFY row_number() OVER (PARTITION BY codebase_path ORDER BY last_updated DESC, status DESC) = 1),
 act AS (SELECT codebase_path AS c FROM cat WHERE status = 'indexed'),
 p AS (SELECT DISTINCT concat(codebase_path, '/src/main') AS path FROM queries WHERE codebase_path IS NOT NULL)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -43,6 +45,26 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys up to this number (some 50 bytes each) are sent to all tasks; more are joined by shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def once(rows: DataFrame, key: str, best: Callable[[list[str]], Column]) -> DataFrame:
+    """rows, each key once: of several rows of a key the one that best(other columns) picks, an aggregate. Rows without a key are left out.
+
+    The keys that come more than once are found from the key alone, and only their rows are shuffled; all others stay where they lie.
+    """
+    rows = rows.where(F.col(key).isNotNull())
+    rest = [c for c in rows.columns if c != key]
+    many = staged(rows.select(key).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key))
+    if not (n := many.count()):
+        return rows
+    if n <= BROADCAST_KEYS:
+        many = F.broadcast(many)
+    picked = rows.join(many, key, "left_semi").groupBy(key).agg(best(rest).alias("_r")).select(key, "_r.*")
+    return rows.join(many, key, "left_anti").select(key, *rest).unionByName(picked)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:

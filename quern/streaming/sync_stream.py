@@ -25,13 +25,11 @@ def last_of_each(events: DataFrame) -> DataFrame:
 def apply_changes(store: Store, name: str, events: DataFrame, chunk: Callable[[DataFrame], DataFrame]) -> None:
     """One micro-batch: chunks of the named paths go, those of what is not deleted come. `chunk` turns (relative_path, content) into rows of the collection.
 
-    The collection's new version becomes valid as a whole; a batch that runs again replaces the same paths with the same rows.
+    Only these are written, and become valid as a whole; a batch that runs again replaces the same paths with the same rows.
     """
     latest = last_of_each(events)
     new = chunk(latest.where(~F.coalesce("deleted", F.lit(False)) & F.col("content").isNotNull()).select("relative_path", "content"))
-    if store.has(name):
-        new = store.read(name).join(latest.select("relative_path"), "relative_path", "left_anti").unionByName(new)
-    store.write(name, new)
+    store.change(name, latest.select("relative_path"), "relative_path", new)
 
 
 def start(events: DataFrame, store: Store, name: str, chunk: Callable[[DataFrame], DataFrame], checkpoint: str, every: str | None = "5 minutes"):

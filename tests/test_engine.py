@@ -2,12 +2,15 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from quern.operators import bm25
 from quern.operators.catalog import Store
 from quern.operators.chunking import Splitter
-from quern.plans.engine import Engine
+from quern.operators.embedding import HashingEmbedder
+from quern.plans.engine import Engine, Settings
 from quern.streaming import sync_stream
 
 ONE = {"src/auth.py": "def login(user):\n    return check_password(user)\n", "src/io.py": "def read_file(path):\n    return open(path).read()\n", "README.md": "How to read files and log in\n"}
@@ -33,8 +36,98 @@ def test_index_search_and_sync(spark, tmp_path):
     fresh.index("/repo", files(spark, two))
     rows = lambda x: {tuple(r) for r in x.store.read(x.collection("/repo")).select("id", "relative_path", "content").collect()}
     assert rows(e) == rows(fresh)
+    postings = lambda x: {tuple(r) for r in x.store.read(x.collection("/repo") + "_postings").collect()}
+    assert postings(e) == postings(fresh)
+    q2 = spark.createDataFrame([(1, "write_file"), (2, "nothing of it")], "query_id long, text string")
+    found = lambda x: {(r.query_id, r.relative_path, r["rank"]) for r in x.search("/repo", q2).collect()}
+    assert found(e) == found(fresh)
+    assert e.status("/repo") == "indexed: 3 files, 3 chunks" and e.catalog().count() == 1
     e.clear("/repo")
-    assert not e.has_index("/repo")
+    assert not e.has_index("/repo") and e.status("/repo") == "not indexed"
+
+
+def test_nothing_is_embedded_twice(spark, tmp_path):
+    class Counting(HashingEmbedder):
+        """Writes down how many texts it is asked for."""
+
+        def __init__(self, folder):
+            super().__init__(8)
+            self.folder = folder
+
+        def embed(self, texts):
+            import uuid
+
+            with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(len(texts)))
+            return HashingEmbedder.embed(self, texts)
+
+    (tmp_path / "n").mkdir()
+    asked = lambda: sum(int(p.read_text()) for p in (tmp_path / "n").iterdir())
+    e = Engine(spark, Store(spark, f"file://{tmp_path}/s"), Settings(embedder=Counting(str(tmp_path / "n"))))
+    e.index("/a", files(spark, ONE))
+    assert asked() == 3
+    e.index("/b", files(spark, ONE))  # the same texts in another codebase
+    e.index("/a", files(spark, ONE), force=True)
+    assert asked() == 3 and e.store.read(e.collection("/b")).where("vector is null").count() == 0
+    assert e.reindex("/a", files(spark, ONE | {"src/new.py": "x = 1\n"})) == {"added": 1, "modified": 0, "removed": 0}
+    assert asked() == 4 and e.store.read("embedding_cache").count() == 4
+
+
+def test_a_limit_leaves_files_for_later(spark, tmp_path):
+    e = Engine(spark, Store(spark, f"file://{tmp_path}/s"), Settings(chunk_limit=2))
+    done = e.index("/a", files(spark, ONE))
+    assert (done.chunks, done.status) == (2, "limit_reached") and e.status("/a").endswith("(limit reached)")
+    e.use(chunk_limit=None)
+    assert e.reindex("/a", files(spark, ONE)) == {"added": 1, "modified": 0, "removed": 0}
+    assert e.store.read(e.collection("/a")).count() == 3
+
+
+def test_a_failure_is_told(spark, tmp_path):
+    class Broken(HashingEmbedder):
+        def embed(self, texts):
+            raise RuntimeError("no provider")
+
+    e = Engine(spark, Store(spark, f"file://{tmp_path}/s"), Settings(embedder=Broken(8)))
+    with pytest.raises(Exception, match="no provider"):
+        e.index("/a", files(spark, ONE))
+    assert e.status("/a").startswith("failed: ") and not e.has_index("/a")
+    e.use(embedder=HashingEmbedder(8))
+    assert e.index("/a", files(spark, ONE)).chunks == 3 and e.status("/a").startswith("indexed")
+
+
+def test_store_survives_failed_and_rival_writers(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    rows = lambda *ids: spark.createDataFrame([(i, i * 2) for i in ids], "id long, x long")
+    store.write("c", rows(1, 2))
+    fails = F.udf(lambda x: 1 / 0, "long")
+    for _ in range(2):
+        with pytest.raises(Exception, match="division"):
+            store.write("c", rows(3).withColumn("x", fails("x")))
+    assert {r.id for r in store.read("c").collect()} == {1, 2}
+    store.insert("c", rows(3, 4))
+    store.delete("c", rows(1, 9))
+    assert {r.id for r in store.read("c").collect()} == {2, 3, 4}
+    with pytest.raises(Exception, match="exist"):
+        store._publish("c", max(store._versions("c")), [])  # another writer has this number
+    for i in range(10, 24):  # parts are put together after some changes
+        store.change("c", rows(i - 1), "id", rows(i))
+    assert {r.id for r in store.read("c").collect()} == {2, 3, 4, 23}
+    assert all(len(parts) <= store.MOST_PARTS for parts in store._versions("c").values()) and len(store._versions("c")) == 2
+    store.insert("d", rows(5))
+    assert store.names() == ["c", "d"]
+    store.drop("d")
+    assert store.names() == ["c"]
+
+
+def test_search_reads_no_contents_to_rank(spark, tmp_path):
+    e = Engine(spark, Store(spark, f"file://{tmp_path}/s"))
+    e.index("/a", files(spark, ONE))
+    name = e.collection("/a")
+    q = spark.createDataFrame([(1, "read_file path")], "query_id long, text string")
+    ranked = bm25.top_k_of(e.store.read(name + "_postings"), bm25.statistics(e.store.read(name).select(F.col("n_terms").alias("dl"))), q)
+    text = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "content:string" not in text and "In(term, [" in text and ranked.count() == 1
+    assert e.search("/a", q).where("relative_path = 'src/io.py'").first().content == ONE["src/io.py"].strip()
 
 
 def test_settings_take_effect(spark, tmp_path):

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quern import staging
 from quern.operators import bm25, catalog, chunking, dense, embedding, evaluation, fusion, prf, reading, sync
 from quern.operators.distributed_rank import rank_values
 from quern.sources import files as sources
@@ -47,6 +48,9 @@ def test_bm25_edges(spark):
     got = [(r.query_id, r.id) for r in bm25.top_k(rows, q, 5).orderBy("query_id", "rank").collect()]
     assert got == [(1, "b"), (1, "a"), (4, "a"), (4, "b")]
     assert bm25.top_k(rows.limit(0), q, 5).count() == 0
+    other = spark.createDataFrame([("a", "Сборка индекса"), ("b", "größere Menge"), ("c", "日本 語")], "id string, content string")
+    q = spark.createDataFrame([(1, "индекса?"), (2, "GRÖSSERE größere"), (3, "語")], "query_id long, text string")
+    assert [(r.query_id, r.id) for r in bm25.top_k(other, q, 5).orderBy("query_id").collect()] == [(1, "a"), (2, "b"), (3, "c")]
 
 
 def test_rerank_neutral_on_failure(spark):
@@ -174,3 +178,22 @@ def test_folder_scan(spark, tmp_path):
     code = sources.code_files(files, patterns=[*sources.IGNORE, "secret/"])
     assert {r.relative_path: r.language for r in code.collect()} == {"a b/x+y%.py": "python", "m.ts": "typescript"}
     assert sources.read_ignore_files(spark, str(tmp_path / "secret")) == []
+
+
+def test_grep_takes_each_line_by_itself(spark):
+    df = spark.createDataFrame([("a", "import x\ndef foo():\n  return\n"), ("b", "no def foo"), ("c", None), ("d", "")], "relative_path string, content string")
+    assert [(r.relative_path, r.line_number, r.match) for r in reading.grep(df, "^def foo").collect()] == [("a", 2, "def foo")]
+    assert [(r.relative_path, r.line_number) for r in reading.grep(df, "return$").collect()] == [("a", 3)]
+    assert {r.relative_path for r in reading.grep(df, "foo", include="^b").collect()} == {"b"}
+
+
+def test_directories_come_first(spark):
+    df = spark.createDataFrame([("b.py",), ("A.py",), ("zeta/x.py",), ("Beta/y/z.py",), ("zeta/y.py",)], "relative_path string")
+    assert [(r.name, r.kind) for r in reading.list_directory(df).collect()] == [("Beta", "directory"), ("zeta", "directory"), ("A.py", "file"), ("b.py", "file")]
+
+
+def test_once_keeps_one_row_of_a_key(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "w"), ("b", 5, None), (None, 9, "n"), ("c", None, None), ("c", None, None)], "id string, n int, t string")
+    got = {tuple(r) for r in staging.once(rows, "id", lambda rest: F.max(F.struct(*rest))).collect()}
+    assert got == {("a", 2, "w"), ("b", 5, None), ("c", None, None)}
+    assert staging.once(rows.where("n = 5"), "id", lambda rest: F.max(F.struct(*rest))).count() == 1 and staging.once(rows.limit(0), "id", lambda rest: F.max(F.struct(*rest))).count() == 0
