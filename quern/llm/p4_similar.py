@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.staging import staged
+from quern.staging import once, staged
 
 DIM = 64
 
@@ -87,7 +87,7 @@ def unit_classes(vectors: DataFrame, dim: int = DIM) -> tuple[DataFrame, DataFra
     Vectors that are null, all zero, not finite or not of `dim` values are left out. An id that comes twice counts once;
     of vectors that disagree the one whose bytes sort first holds. Copies, also scaled ones (equal to 2^-20 in
     each coordinate), form a class named by its smallest id; they are found by grouping, before any bucket is built, so that
-    however many there are they are one row in the index.
+    however many there are they are one row in the index. Only vectors whose id or direction comes again are shuffled.
     """
 
     def clean(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,18 +104,15 @@ def unit_classes(vectors: DataFrame, dim: int = DIM) -> tuple[DataFrame, DataFra
             key = np.round(x * (1 << 20)).astype(np.int32)
             yield pd.DataFrame({"id": p.id.iloc[ok].to_numpy()[good], "unit": [r.tobytes() for r in x], "key": [r.tobytes() for r in key]})
 
-    units = (
+    units = staged(
         vectors.where("id is not null and vector is not null")
         .select("id", F.col("vector").cast("array<double>"))
         .mapInPandas(clean, "id string, unit binary, key binary")
-        .groupBy("id")
-        .agg(F.min(F.struct("unit", "key")).alias("u"))
-        .select("id", "u.unit", F.xxhash64("u.key").alias("k1"), F.substring(F.md5("u.key"), 1, 16).alias("k2"))
+        .select("id", "unit", F.concat(F.hex(F.xxhash64("key")), F.substring(F.md5("key"), 1, 16)).alias("k"))
     )
-    units = staged(units)
-    classes = units.groupBy("k1", "k2").agg(F.min(F.struct("id", "unit")).alias("r")).select("k1", "k2", F.col("r.id").alias("rep"), F.col("r.unit").alias("unit"))
-    classes = staged(classes)
-    members = units.select("id", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("id", "rep")
+    units = once(units, "id", lambda rest: F.min(F.struct(*rest)))
+    classes = staged(once(units.select("k", "id", "unit"), "k", lambda rest: F.min(F.struct(*rest))).withColumnRenamed("id", "rep"))
+    members = units.select("id", "k").join(classes.select("k", "rep"), "k").select("id", "rep")
     return classes.select("rep", "unit"), members
 
 
