@@ -119,6 +119,12 @@ def first_line(code: str, chunk: str) -> tuple[int, int]:
     return start, start + chunk.count("\n")
 
 
+def line_estimate(code: Column, chunk: Column) -> Column:
+    """first_line's first number, as an expression."""
+    at = F.instr(code, chunk)
+    return F.when(at > 0, F.size(F.split(F.substring(code, F.lit(1), at - 1), "\n"))).otherwise(F.lit(1))
+
+
 # --- declarations -----------------------------------------------------------------------------------------------------
 
 #: Lines that begin a unit, for languages whose units are closed by braces, and for those closed by `end`.

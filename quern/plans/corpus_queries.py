@@ -11,7 +11,7 @@ from quern.operators import catalog, chunking, embedding, evaluation, reading, s
 from quern.plans.engine import distinct_rows
 from quern.plans.search_queries import LISTS, ROWS, _lists, _rows
 from quern.sources import files as sources
-from quern.staging import table
+from quern.staging import staged, table
 
 NOW = "2025-03-05 00:00:00"
 
@@ -156,7 +156,7 @@ def token_estimate(spark, d):
 
 
 def embedding_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(embedding.prepare(F.col("text"), 100)).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(embedding.prepare(F.col("text"))).alias("digest"))
 
 
 def embedding_reduced(spark, d):
@@ -218,7 +218,7 @@ def _versions(spark, d):
 
 
 def snapshot_hashes(spark, d):
-    return _versions(spark, d)[1]
+    return sync.snapshot(_files(spark, d))
 
 
 def snapshot_diff(spark, d):
@@ -226,7 +226,7 @@ def snapshot_diff(spark, d):
 
 
 def merkle_root(spark, d):
-    return sync.merkle_root(_versions(spark, d)[0])
+    return sync.merkle_root(sync.snapshot(_files(spark, d)))
 
 
 def merkle_diff(spark, d):
@@ -236,7 +236,7 @@ def merkle_diff(spark, d):
 
 
 def merkle_nodes(spark, d):
-    return sync.merkle_nodes(_versions(spark, d)[0]).select("id", "data", F.size("parents").alias("parents"), F.size("children").alias("children"))
+    return sync.merkle_nodes(sync.snapshot(_files(spark, d))).select("id", "data", F.size("parents").alias("parents"), F.size("children").alias("children"))
 
 
 def _changed_collection(spark, d):
@@ -301,20 +301,19 @@ def lookup_activity(spark, d):
 
 
 def _runs(spark, d):
-    """Each query's ten best by its lists 0 and 1, as paths found and paths wanted."""
+    """Each further list of a query held against its first one: paths found and paths wanted, of the whole lists."""
     rows = _rows(spark, d).select("id", F.concat(F.lit("/"), "relative_path").alias("path"))
-    both = _lists(spark, d).where("list_no in (0, 1) and rank <= 10").join(rows, "id")
-    sets = both.groupBy("query_id").agg(F.array_sort(F.collect_set(F.when(F.col("list_no") == 0, F.col("path")))).alias("hits"), F.array_sort(F.collect_set(F.when(F.col("list_no") == 1, F.substring("path", 2, 1 << 30)))).alias("oracles"))  # ten each
-    return sets.withColumn("instance_id", F.col("query_id").cast("string"))
+    listed = staged(_lists(spark, d).join(rows, "id").groupBy("query_id", "list_no").agg(F.collect_set("path").alias("paths")))  # a list is some tens of rows
+    wanted = listed.where("list_no = 0").select("query_id", F.transform("paths", lambda p: F.substring(p, 2, 1 << 30)).alias("oracles"))
+    return listed.where("list_no > 0").select("query_id", "list_no", F.col("paths").alias("hits")).join(wanted, "query_id").withColumn("instance_id", F.col("query_id").cast("string"))
 
 
 def retrieval_metrics(spark, d):
-    return evaluation.with_metrics(_runs(spark, d)).select("query_id", "precision", "recall", "f1")
+    return evaluation.with_metrics(_runs(spark, d)).select("query_id", "list_no", "precision", "recall", "f1")
 
 
 def run_aggregates(spark, d):
-    runs = evaluation.with_metrics(_runs(spark, d)).withColumn("kind", F.when(F.size("hits") > 9, "full").otherwise("short"))
-    return evaluation.run_aggregates(runs, ["kind"], ["precision", "f1"])
+    return evaluation.run_aggregates(evaluation.with_metrics(_runs(spark, d)), ["list_no"], ["precision", "f1"])
 
 
 def relative_change(spark, d):
@@ -332,17 +331,44 @@ def patch_files(spark, d):
     return _patches(spark, d).select("relative_path", F.array_join(evaluation.patched_files(F.col("patch")), "|").alias("files"), evaluation.patch_file_count(F.col("patch")).alias("n"))
 
 
+def _transcripts(spark, d):
+    """For each file a log of work on it: two edits that were made, and two that were asked for."""
+    p = F.col("relative_path")
+    say = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    text = say("Reading ", p, "\n  Successfully modified file: /repo/", p, " (1 change)\nTool edit, {\"file_path\": \"", p, "\"}\nSuccessfully modified file: /else/", p, "\nEDIT {'file_path': '/repo/doc/", p, "'} then Successfully modified file: ", p)
+    return table(spark, d, "chunks").where("relative_path is not null").select("relative_path").distinct().select(p.alias("doc_id"), text.alias("text"))
+
+
 def edited_paths(spark, d):
-    return evaluation.edited_paths(_patches(spark, d).select(F.col("relative_path").alias("doc_id"), F.col("patch").alias("text")))
+    return evaluation.edited_paths(_transcripts(spark, d), "/repo")
+
+
+def patch_subset(spark, d):
+    hard = F.when(F.length("relative_path") % 3 == 0, "15 min - 1 hour").otherwise("<15 min fix")
+    return evaluation.subset_share(_patches(spark, d).withColumn("difficulty", hard), "15 min - 1 hour", 2)
 
 
 def token_totals(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy("user_id").agg(F.round(F.sum("value"), 4).alias("total"), F.max("value").alias("largest"), F.count("*").alias("turns"))
+    """Events as the messages of their users: what went in and out, and of two in three the total."""
+    n = F.floor("value").cast("long")
+    total = F.when(F.col("event_id") % 3 != 0, n + F.length("event_type") + 1)
+    messages = table(spark, d, "events").select(F.col("user_id").alias("instance_id"), n.alias("input_tokens"), F.length("event_type").alias("output_tokens"), total.alias("total_tokens"))
+    return evaluation.token_totals(messages)
 
 
 def tool_counts(spark, d):
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("calls"))
+    """Events as calls of tools by their users."""
+    stats = evaluation.tool_stats(table(spark, d, "events").select(F.col("user_id").alias("instance_id"), F.when(F.col("event_id") % 7 != 0, F.col("event_type")).alias("tool")))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("tool_call_counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return stats.select("instance_id", shown.alias("tools"), "total_tool_calls")
+
+
+def edit_calls(spark, d):
+    """Edits written into logs and read from them again."""
+    plain = F.substring(F.regexp_replace("content", "[^A-Za-z0-9_ ]", ""), 1, 60)
+    q = F.lit("'")
+    log = F.concat(F.lit("Tool Call: 'edit'\n   Arguments: {'file_path': '"), "relative_path", F.lit("', 'old_string': \""), plain, F.lit("\\n\", 'new_string': "), q, F.lit("new "), plain, q, F.lit("}\n   Arguments: {'path': 'x'}\n"))
+    return evaluation.edit_calls(_code(spark, d).where("content is not null").select(F.col("seq").alias("doc_id"), log.alias("text")))
 
 
 def test_paths(spark, d):
@@ -353,6 +379,21 @@ def truncated_lines(spark, d):
     return _rows(spark, d).select("id", F.md5(evaluation.first_lines(F.col("content"), 10)).alias("digest"))
 
 
+def edit_places(spark, d):
+    """On which line an edit of a passage in the middle of a text begins."""
+    files = _files(spark, d)
+    calls = files.where("length(content) > 80").select(F.col("relative_path").alias("file_path"), F.substring("content", 41, 40).alias("old"), F.lit("x").alias("new"))
+    return evaluation.edit_diffs(calls, files).select("file_path", "line")
+
+
+def chunk_line_estimate(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", chunking.line_estimate(F.col("text"), F.substring("text", 101, 50)).alias("line"))
+
+
+def grep_anchored(spark, d):
+    return reading.grep(table(spark, d, "documents").select("doc_id", F.col("text").alias("content")), r"^(?:def|func|class) [A-Za-z_]+", "doc_id")
+
+
 def edit_diffs(spark, d):
     rows = _code(spark, d).where("content is not null").select("seq", F.col("relative_path").alias("name"), F.col("content").alias("old"), F.regexp_replace("content", "return", "yield").alias("new"))
     return evaluation.unified_diffs(rows).select("seq", F.length("diff").alias("n"))
@@ -389,8 +430,8 @@ def queries():
         cache_latest, cache_hits, cache_misses, cache_upsert, cache_stats, cache_evict_ttl, cache_evict_size,
         snapshot_hashes, snapshot_diff, merkle_root, merkle_diff, merkle_nodes, reindex_delta, targeted_update, index_progress,
         catalog_latest_state, catalog_active, catalog_reconcile, catalog_status, recent_repos, delete_by_ids, lookup_activity,
-        retrieval_metrics, run_aggregates, relative_change, patch_files, edited_paths, token_totals, tool_counts, test_paths, truncated_lines, edit_diffs,
-        grep_lines, read_slice, list_directory, directory_tree, trimmed_lengths,
+        retrieval_metrics, run_aggregates, relative_change, patch_files, patch_subset, edited_paths, token_totals, tool_counts, test_paths, truncated_lines, edit_calls, edit_places, edit_diffs,
+        grep_lines, grep_anchored, chunk_line_estimate, read_slice, list_directory, directory_tree, trimmed_lengths,
     )
     return {f.__name__: f for f in each}
 
@@ -462,6 +503,9 @@ def _versions_sql() -> str:
 b AS (SELECT relative_path, sha256(CASE WHEN doc_id % 10 = 5 THEN coalesce(content, '') || '!' ELSE coalesce(content, '') END) AS hash FROM files WHERE doc_id % 10 <> 7)"""
 
 
+WHOLE = f"{FILES}, a AS (SELECT relative_path, sha256(coalesce(content, '')) AS hash FROM files)"
+
+
 def _root_sql() -> str:
     return """leaf AS (SELECT sha256(relative_path || ':' || hash) AS id, relative_path || ':' || hash AS data FROM a),
 bk AS (SELECT substr(id, 1, 3) AS b, sha256(string_agg(id, '' ORDER BY id)) AS h FROM leaf GROUP BY 1),
@@ -475,11 +519,11 @@ m AS (SELECT *, CAST({number} AS INTEGER) AS k FROM r)
 SELECT id, relative_path FROM m WHERE coalesce(k <> 3, TRUE) AND NOT coalesce(k IN (1, 2) AND {only}, FALSE) UNION ALL SELECT id || 'n', relative_path FROM m WHERE k IN (2, 3) AND {only}"""
 
 
-RUNS = f"""{ROWS}, {LISTS}, both_ AS (SELECT query_id, list_no, relative_path FROM lists JOIN rows USING (id) WHERE list_no IN (0, 1) AND rank <= 10),
-runs AS (SELECT query_id, coalesce(list(DISTINCT relative_path) FILTER (list_no = 0), []) AS h, coalesce(list(DISTINCT relative_path) FILTER (list_no = 1), []) AS o FROM both_ GROUP BY query_id),
+RUNS = f"""{ROWS}, {LISTS}, listed AS (SELECT query_id, list_no, list(DISTINCT relative_path) AS p FROM lists JOIN rows USING (id) WHERE relative_path IS NOT NULL GROUP BY query_id, list_no),
+runs AS (SELECT x.query_id, x.list_no, x.p AS h, y.p AS o FROM listed x JOIN listed y ON x.query_id = y.query_id AND y.list_no = 0 WHERE x.list_no > 0),
 met AS (SELECT *, len(list_intersect(h, o)) AS c FROM runs),
-me AS (SELECT query_id, h, CASE WHEN len(h) = 0 THEN 0 ELSE c / len(h) END AS p, CASE WHEN len(o) = 0 THEN 0 ELSE c / len(o) END AS r FROM met),
-metrics AS (SELECT query_id, h, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM me)"""
+me AS (SELECT query_id, list_no, CASE WHEN len(h) = 0 THEN 0 ELSE c / len(h) END AS p, CASE WHEN len(o) = 0 THEN 0 ELSE c / len(o) END AS r FROM met),
+metrics AS (SELECT query_id, list_no, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM me)"""
 PATCHES = f"""{PATHS}, one AS (SELECT relative_path, concat('diff --git a/', relative_path, ' b/', relative_path, chr(10), '--- a/', relative_path, chr(10), '+++ b/', relative_path, chr(10), '@@ -1 +1 @@', chr(10), '-old', chr(10), '+new', chr(10)) AS x,
   concat('diff --git a/doc/', relative_path, ' b/doc/', relative_path, chr(10), '--- a/doc/', relative_path, chr(10), '+++ b/doc/', relative_path, chr(10), '@@ -1 +1 @@', chr(10), '-old', chr(10), '+new', chr(10)) AS y FROM p),
 patches AS (SELECT relative_path, CASE WHEN length(relative_path) % 2 = 0 THEN x || y ELSE x END AS patch FROM one)"""
@@ -518,7 +562,7 @@ SELECT seq, relative_path, CASE WHEN tail IS NULL THEN start_line ELSE greatest(
         "chunk_long_enough": f"SELECT doc_id FROM documents WHERE length({TRIMMED('text')}) > 10",
         "chunk_cap": f"WITH {CODE} SELECT relative_path, seq AS chunk_index, 'completed' AS status FROM code",
         "token_estimate": f"WITH {ROWS} SELECT file_extension, CAST(sum(ceil(length(content) / 4)) AS BIGINT) AS tokens FROM rows GROUP BY ALL",
-        "embedding_text": "SELECT doc_id, md5(CASE WHEN text = '' THEN ' ' ELSE substr(text, 1, 400) END) AS digest FROM documents",
+        "embedding_text": "SELECT doc_id, md5(CASE WHEN text = '' THEN ' ' ELSE substr(text, 1, 32768) END) AS digest FROM documents",
         "embedding_reduced": """WITH v AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE)) AS h FROM embeddings), n AS (SELECT vec_id, h, sqrt(list_sum(list_transform(h, lambda x: x * x))) AS s FROM v)
 SELECT vec_id, len(h) AS n, round(h[1] / s, 6) AS first, round(h[16] / s, 6) AS last FROM n""",
         "content_hashes": f"SELECT doc_id, sha256({TRIMMED('text')}) AS hash FROM documents WHERE text IS NOT NULL",
@@ -531,12 +575,12 @@ SELECT DISTINCT content_hash, 128 AS dimension FROM n UNION SELECT content_hash,
         "cache_evict_ttl": f"SELECT content_hash, {NTZ('created_at')} AS created_at FROM embedding_cache WHERE created_at IS NULL OR {NTZ('created_at')} >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY",
         "cache_evict_size": f"""WITH {LATEST}, t AS (SELECT *, row_number() OVER (ORDER BY coalesce(epoch_us(created_at), -1), content_hash) AS k, count(*) OVER () AS n, sum(4 * len(embedding)) OVER () AS b FROM lc)
 SELECT content_hash FROM t WHERE NOT (coalesce(b, 0) > 100000 AND k <= ceil(n * 0.1::DOUBLE))""",
-        "snapshot_hashes": f"WITH {_versions_sql()} SELECT * FROM b",
+        "snapshot_hashes": f"WITH {WHOLE} SELECT * FROM a",
         "snapshot_diff": f"""WITH {_versions_sql()} SELECT coalesce(a.relative_path, b.relative_path) AS relative_path, CASE WHEN a.hash IS NULL THEN 'added' WHEN b.hash IS NULL THEN 'removed' ELSE 'modified' END AS change
 FROM a FULL JOIN b ON a.relative_path = b.relative_path WHERE a.hash IS DISTINCT FROM b.hash""",
-        "merkle_root": f"WITH {_versions_sql()}, {_root_sql()} SELECT root FROM rt",
+        "merkle_root": f"WITH {WHOLE}, {_root_sql()} SELECT root FROM rt",
         "merkle_diff": f"WITH {_versions_sql()}, x AS (SELECT sha256(relative_path || ':' || hash) AS id FROM a), y AS (SELECT sha256(relative_path || ':' || hash) AS id FROM b) SELECT id, 'added' AS side FROM y WHERE id NOT IN (SELECT id FROM x) UNION ALL SELECT id, 'removed' FROM x WHERE id NOT IN (SELECT id FROM y)",
-        "merkle_nodes": f"WITH {_versions_sql()}, {_root_sql()} SELECT id, data, 1 AS parents, 0 AS children FROM leaf UNION ALL SELECT root, 'root', 0, 0 FROM rt",
+        "merkle_nodes": f"WITH {WHOLE}, {_root_sql()} SELECT id, data, 1 AS parents, 0 AS children FROM leaf UNION ALL SELECT root, 'root', 0, 0 FROM rt",
         "reindex_delta": _changed_sql(),
         "targeted_update": _changed_sql("starts_with(relative_path, 'src/')"),
         "index_progress": f"WITH {CATALOG} SELECT codebase_path, CAST(CASE WHEN indexed_files = 0 THEN 100 ELSE round(10 + 90 * 20 / indexed_files) END AS INTEGER) AS percent FROM cat WHERE indexed_files IS NOT NULL",
@@ -549,16 +593,27 @@ FROM a FULL JOIN b ON a.relative_path = b.relative_path WHERE a.hash IS DISTINCT
         "delete_by_ids": "SELECT id, max(relative_path) AS relative_path FROM chunks WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM expansion_terms WHERE id IS NOT NULL) GROUP BY id",
         "lookup_activity": f"""WITH l AS (SELECT lookup_id, max(struct_pack(c := codebase_path, t := requested_at)) AS r FROM cache_lookups WHERE lookup_id IS NOT NULL GROUP BY lookup_id)
 SELECT date_trunc('hour', {NTZ('r.t')}) AS window_start, r.c AS codebase_path, count(*) AS lookups FROM l WHERE r.t IS NOT NULL GROUP BY ALL""",
-        "retrieval_metrics": f"WITH {RUNS} SELECT query_id, precision, recall, f1 FROM metrics",
-        "run_aggregates": f"""WITH {RUNS} SELECT CASE WHEN len(h) > 9 THEN 'full' ELSE 'short' END AS kind, round(avg(precision), 6) AS avg_precision, round(stddev_pop(precision), 6) AS std_precision, round(avg(f1), 6) AS avg_f1, round(stddev_pop(f1), 6) AS std_f1,
+        "retrieval_metrics": f"WITH {RUNS} SELECT query_id, list_no, precision, recall, f1 FROM metrics",
+        "run_aggregates": f"""WITH {RUNS} SELECT list_no, round(avg(precision), 6) AS avg_precision, round(stddev_pop(precision), 6) AS std_precision, round(avg(f1), 6) AS avg_f1, round(stddev_pop(f1), 6) AS std_f1,
   count(*) AS runs, count(DISTINCT query_id) AS instances FROM metrics GROUP BY 1""",
         "relative_change": "SELECT event_type, round(CASE WHEN max(value) = 0 THEN 0 ELSE (avg(value) - max(value)) / max(value) * 100 END, 6) AS change FROM events GROUP BY event_type",
         "patch_files": f"WITH {PATCHES} SELECT relative_path, array_to_string(regexp_extract_all(patch, '--- a/([^\\n]+)', 1), '|') AS files, len(regexp_extract_all(patch, '(?m)^diff --git a/')) AS n FROM patches",
-        "edited_paths": f"""WITH {PATCHES}, l AS (SELECT relative_path AS doc_id, unnest(string_split(patch, chr(10))) AS line, generate_subscripts(string_split(patch, chr(10)), 1) - 1 AS n FROM patches),
-f AS (SELECT doc_id, n, regexp_replace(coalesce(nullif(regexp_extract(line, {_sq(evaluation.EDITED[0])}, 1), ''), nullif(regexp_extract(line, {_sq(evaluation.EDITED[1])}, 1), '')), '^\\.?/', '') AS path FROM l)
-SELECT doc_id, path, CAST(min(n) AS INTEGER) AS place FROM f WHERE path IS NOT NULL GROUP BY doc_id, path""",
-        "token_totals": "SELECT user_id, round(sum(value), 4) AS total, max(value) AS largest, count(*) AS turns FROM events GROUP BY user_id",
-        "tool_counts": "SELECT user_id, event_type, count(*) AS calls FROM events GROUP BY ALL",
+        "edited_paths": f"""WITH {PATHS} SELECT relative_path AS doc_id, unnest([relative_path, concat('/else/', relative_path), concat('doc/', relative_path)]) AS path, unnest([1, 2, 3]) AS place FROM p""",
+        "patch_subset": f"""WITH {PATCHES}, x AS (SELECT length(relative_path) % 3 = 0 AND len(regexp_extract_all(patch, '(?m)^diff --git a/')) = 2 AS c FROM patches)
+SELECT count(*) AS total, count(*) FILTER (c) AS chosen, round(100 * count(*) FILTER (c) / count(*), 1) AS percent FROM x""",
+        "token_totals": """WITH m AS (SELECT user_id AS instance_id, CAST(floor(value) AS BIGINT) AS i, length(event_type) AS o, CASE WHEN event_id % 3 <> 0 THEN CAST(floor(value) AS BIGINT) + length(event_type) + 1 END AS t FROM events),
+x AS (SELECT instance_id, coalesce(i, 0) AS i, coalesce(o, 0) AS o, coalesce(t, coalesce(i, 0) + coalesce(o, 0)) AS t FROM m)
+SELECT instance_id, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, CAST(CASE WHEN sum(t) > 0 THEN sum(t) ELSE sum(i) + sum(o) END AS BIGINT) AS total_tokens, greatest(max(t), 0) AS max_single_turn_tokens FROM x GROUP BY instance_id""",
+        "tool_counts": """WITH c AS (SELECT user_id AS instance_id, coalesce(CASE WHEN event_id % 7 <> 0 THEN event_type END, 'unknown') AS tool, count(*) AS n FROM events GROUP BY ALL)
+SELECT instance_id, string_agg(concat(tool, '=', n), ',' ORDER BY tool) AS tools, CAST(sum(n) AS BIGINT) AS total_tool_calls FROM c GROUP BY instance_id""",
+        "edit_calls": f"""WITH {CODE}, x AS (SELECT seq, relative_path, substr(regexp_replace(content, '[^A-Za-z0-9_ ]', '', 'g'), 1, 60) AS t FROM code WHERE content IS NOT NULL)
+SELECT seq AS doc_id, 1 AS call_no, relative_path AS file_path, t || chr(10) AS old, 'new ' || t AS new FROM x""",
+        "edit_places": f"""WITH {FILES}, x AS (SELECT relative_path, content, substr(content, 41, 40) AS o FROM files WHERE length(content) > 80)
+SELECT relative_path AS file_path, len(string_split(substr(content, 1, instr(content, o) - 1), chr(10))) AS line FROM x""",
+        "chunk_line_estimate": """WITH x AS (SELECT doc_id, text, instr(text, substr(text, 101, 50)) AS pos FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN pos > 0 THEN len(string_split(substr(text, 1, pos - 1), chr(10))) ELSE 1 END AS line FROM x""",
+        "grep_anchored": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line_content, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM documents)
+SELECT doc_id, CAST(line_number AS INTEGER) AS line_number, line_content, regexp_extract(line_content, '^(?:def|func|class) [A-Za-z_]+') AS match FROM l WHERE regexp_matches(line_content, '^(?:def|func|class) [A-Za-z_]+')""",
         "test_paths": f"WITH {PATHS} SELECT relative_path FROM p WHERE len(list_intersect(regexp_split_to_array(lower(relative_path), '[ _/.]'), ['test', 'tests', 'testing'])) > 0",
         "truncated_lines": f"WITH {ROWS} SELECT id, md5(CASE WHEN len({body}) > 10 THEN concat(array_to_string({body}[1:10], chr(10)), chr(10), '... ', len({body}) - 10, ' more lines') ELSE content END) AS digest FROM rows",
         "grep_lines": f"""WITH {ROWS}, l AS (SELECT id, unnest({body}) AS line_content, generate_subscripts({body}, 1) AS line_number FROM rows)

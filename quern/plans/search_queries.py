@@ -241,39 +241,64 @@ def _dense_sql(k: int, source: str = "vs", least: str = "") -> str:
   SELECT query_id, id, round(list_cosine_similarity(v, q), 6) AS score FROM {source}, qs WHERE q IS NOT NULL AND len(q) = 64) {least}) WHERE rank <= {k}"""
 
 
-def _bm25_sql(k: int) -> str:
-    words = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}_]+'), lambda w: w <> '')"
-    return f"""
-asked AS (SELECT DISTINCT query_id, unnest({words('text')}) AS term FROM qs),
-toks AS (SELECT id, {words("coalesce(content, '')")} AS t FROM rows),
+def _words_sql(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}_]+'), lambda w: w <> '')"
+
+
+def _postings_sql() -> str:
+    return f"""toks AS (SELECT id, {_words_sql("coalesce(content, '')")} AS t FROM rows),
 st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM toks),
 post AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM toks) GROUP BY id, term),
-dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-bm AS (
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term)"""
+
+
+def _ranked_sql(k: int, source: str = "qs", to: str = "") -> str:
+    return f"""wanted{to} AS (SELECT DISTINCT query_id, unnest({_words_sql('text')}) AS term FROM {source}),
+bm{to} AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
     SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score
-    FROM asked JOIN post USING (term) JOIN dfs USING (term), st GROUP BY query_id, id) QUALIFY rank <= {k})"""
+    FROM wanted{to} JOIN post USING (term) JOIN dfs USING (term), st GROUP BY query_id, id) QUALIFY rank <= {k})"""
 
 
-def _hybrid_sql(top: int, fetch: int) -> str:
-    return f"""WITH {ROWS}, {VECTORS}, {_bm25_sql(fetch)}, dn AS ({_dense_sql(fetch)}),
-fused AS (
+def _bm25_sql(k: int) -> str:
+    return f"{_postings_sql()}, {_ranked_sql(k)}"
+
+
+def _found_sql(fetch: int, source: str = "qs", to: str = "") -> str:
+    """The weighed results of a hybrid search for the queries of a source, as found{to} with their rank."""
+    dense = _dense_sql(fetch).replace("FROM vs, qs", f"FROM vs, {source}")
+    return f"""{_ranked_sql(fetch, source, to)}, dn{to} AS ({dense}),
+fused{to} AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r0 FROM (
-    SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, id, rank FROM dn UNION ALL SELECT query_id, id, rank FROM bm) GROUP BY query_id, id) QUALIFY r0 <= {fetch}),
-wt AS (SELECT f.query_id, f.id, round(score * {paths.sql_file_weight('relative_path', 'file_extension')}, 9) AS score, r0, relative_path, start_line, end_line,
-    coalesce(CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.language') END, 'unknown') AS language FROM fused f JOIN rows USING (id))
-SELECT query_id, rank, id, round(score, 6) AS score, relative_path, start_line, end_line, language FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r0) AS rank FROM wt) WHERE rank <= {top}"""
+    SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, id, rank FROM dn{to} UNION ALL SELECT query_id, id, rank FROM bm{to}) GROUP BY query_id, id) QUALIFY r0 <= {fetch}),
+wt{to} AS (SELECT f.query_id, f.id, round(score * {paths.sql_file_weight('relative_path', 'file_extension')}, 9) AS score, r0, content, relative_path, start_line, end_line,
+    coalesce(CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.language') END, 'unknown') AS language FROM fused{to} f JOIN rows USING (id)),
+found{to} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r0) AS rank FROM wt{to})"""
+
+
+def _hybrid_sql(top: int, fetch: int) -> str:
+    return f"""WITH {ROWS}, {VECTORS}, {_postings_sql()}, {_found_sql(fetch)}
+SELECT query_id, rank, id, round(score, 6) AS score, relative_path, start_line, end_line, language FROM found WHERE rank <= {top}"""
+
+
+def _two_pass_sql() -> str:
+    expansion = _stats_sql("docs AS (SELECT query_id, rank AS doc, content FROM found WHERE rank <= 12)")
+    return f"""WITH {VECTORS}, {expansion.replace(ROWS + ', ', ROWS + ', ' + _postings_sql() + ', ' + _found_sql(20) + ', ')},
+again AS (SELECT query_id, concat(text, ' ', array_to_string(terms, ' ')) AS text, q FROM expanded JOIN (SELECT query_id, q FROM qs) USING (query_id) WHERE len(terms) > 0),
+{_found_sql(20, 'again', '2')},
+both_ AS (SELECT query_id, id, 0 AS source, rank FROM found2 WHERE rank <= 5 UNION ALL SELECT query_id, id, 1, rank FROM found WHERE rank <= 12),
+merged AS (SELECT query_id, id, min(struct_pack(source := source, rank := rank)) AS a FROM both_ GROUP BY query_id, id)
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY a.source, a.rank, id) AS rank FROM merged QUALIFY rank <= 5"""
 
 
 RRF = lambda k: f"""fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
   SELECT query_id, id, round(sum(1.0 / ({k} + rank)), 9) AS score FROM lists GROUP BY query_id, id))"""
 
 
-def _stats_sql() -> str:
+def _stats_sql(docs: str = "docs AS (SELECT query_id, rank AS doc, content FROM lists JOIN rows USING (id) WHERE list_no = 0)") -> str:
     stop = ", ".join(f"'{w}'" for w in prf.STOP_WORDS)
     return f"""{ROWS}, {LISTS},
-docs AS (SELECT query_id, rank AS doc, content FROM lists JOIN rows USING (id) WHERE list_no = 0),
+{docs},
 used AS (SELECT *, string_split({sql_code_tokens("coalesce(content, '')")}, ' ') AS t FROM docs WHERE doc <= 7),
 ws AS (SELECT query_id, doc, len(t) AS len, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM used),
 cn AS (SELECT query_id, term, doc, any_value(len) AS len, count(*) AS c, min(pos) AS pos FROM ws GROUP BY query_id, term, doc),
@@ -351,6 +376,7 @@ def oracle_sql() -> dict[str, str]:
     weight = paths.sql_file_weight("relative_path", "file_extension")
     doc = "concat('File: ', coalesce(relative_path, ''), ' ', coalesce(content, ''))"
     cut = f"CASE WHEN length({doc}) > 2000 THEN concat(substr({doc}, 1, 2000), '...') ELSE {doc} END"
+    split = lambda c: f"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[\\s\\p{{Z}}\\x0B\\x1C-\\x1F\\x{{85}}]+'), lambda w: w <> ''))"
     lang = "coalesce(CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.language') END, 'unknown')"
     return {
         "flagship_hybrid_search": _hybrid_sql(10, 20),
@@ -371,6 +397,11 @@ SELECT query_id, id, round(sum(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) E
         "weighted_resort": f"""WITH {ROWS}, {LISTS}, {RRF(60)}, w AS (SELECT query_id, id, round(score * {weight}, 9) AS score, rank AS r0 FROM fused JOIN rows USING (id) WHERE rank <= 20)
 SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r0) AS rank FROM w""".replace("round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC", "round(w.score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY w.score DESC"),
         "rerank_texts": f"WITH {ROWS}, t AS (SELECT id, {cut} AS x FROM rows) SELECT id, md5(x) AS digest, length(x) AS n FROM t",
+        "rerank_lexical": f"""WITH {ROWS}, {LISTS}, {RRF(60)}, d AS (SELECT id, {cut} AS x FROM rows),
+w AS (SELECT f.query_id, f.id, f.rank AS r0, {split('q.text')} AS a, {split('d.x')} AS b FROM fused f JOIN queries q USING (query_id) JOIN d USING (id) WHERE f.rank <= 15),
+s AS (SELECT query_id, id, r0, round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(a) END, 6) AS rerank_score FROM w)
+SELECT query_id, id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, r0) AS rank FROM s QUALIFY rank <= 5""",
+        "prf_two_pass": _two_pass_sql(),
         "result_projection": f"""WITH {ROWS}, {LISTS}, {RRF(60)}, t AS (SELECT query_id, rank, id, CASE WHEN length(content) > 5000 THEN concat(substr(content, 1, 5000), '...') ELSE content END AS body, {lang} AS language, relative_path, start_line, end_line FROM fused JOIN rows USING (id) WHERE rank <= 3)
 SELECT query_id, rank, id, md5(concat(rank, '. Code snippet (', language, ') [all]', chr(10), '   Location: ', relative_path, ':', start_line, '-', end_line, chr(10), '   Rank: ', rank, chr(10), '   Context: ', chr(10), '```', language, chr(10), body, chr(10), '```', chr(10))) AS digest FROM t""",
         "result_previews": f"WITH {ROWS} SELECT id, CASE WHEN length(content) > 150 THEN concat(substr(content, 1, 150), '...') ELSE content END AS preview FROM rows ORDER BY id LIMIT 20",
