@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -71,21 +72,46 @@ def overlap(query: str, text: str) -> float:
     return len(words & set(text.lower().split())) / len(words) if words else 0.0
 
 
-def rerank(results: DataFrame, top: int, scorer: Callable[[str, str], float] = overlap, neutral: float = 0.5) -> DataFrame:
-    """results (query_id, id, text, doc, rank, ...) ordered by a scorer of (query text, document text); a pair it fails on counts `neutral`.
+class Reranker(ABC):
+    """Scores pairs of a query and a document, `batch` at a time, in the worker process."""
 
-    The score of the retrieval stays; `rerank_score` is added. Scored in Arrow batches by whatever the scorer loads once per process.
+    batch = 16
+
+    @abstractmethod
+    def score(self, queries: list[str], documents: list[str]) -> list[float]: ...
+
+
+class Each(Reranker):
+    """A scorer of one pair as a reranker; a pair it fails on does not touch the others."""
+
+    batch = 1
+
+    def __init__(self, scorer: Callable[[str, str], float]):
+        self.scorer = scorer
+
+    def score(self, queries: list[str], documents: list[str]) -> list[float]:
+        return [float(self.scorer(q, d)) for q, d in zip(queries, documents, strict=True)]
+
+
+def rerank(results: DataFrame, top: int, scorer: Reranker | Callable[[str, str], float] = overlap, neutral: float = 0.5) -> DataFrame:
+    """results (query_id, id, text, doc, rank, ...) ordered by a reranker of (query text, document text); a batch that fails, or that has not
+    one number for each pair, counts `neutral` for each.
+
+    The score of the retrieval stays; `rerank_score` is added. Scored in Arrow batches by whatever the reranker loads once per process.
     """
+    by = scorer if isinstance(scorer, Reranker) else Each(scorer)
 
-    def one(q: str | None, d: str | None) -> float:
+    def scores(queries: list[str], documents: list[str]) -> list[float]:
         try:
-            return float(scorer(q or "", d or ""))
+            found = [round(float(x), 6) for x in by.score(queries, documents)]
         except Exception:
-            return neutral
+            found = []
+        return found if len(found) == len(queries) else [neutral] * len(queries)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield p.assign(rerank_score=[round(one(q, d), 6) for q, d in zip(p.text, p.doc, strict=True)])
+            q, d = [x or "" for x in p.text], [x or "" for x in p.doc]
+            yield p.assign(rerank_score=[x for i in range(0, len(p), by.batch) for x in scores(q[i : i + by.batch], d[i : i + by.batch])])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in results.schema.fields)
     scored = results.mapInPandas(run, fields + ", rerank_score double").withColumnRenamed("rank", "before")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +12,15 @@ from pyspark.sql import functions as F
 
 from quern.functions import paths, query_prep
 from quern.functions.text import trim_all
-from quern.operators import bm25, chunking, dense, embedding, filters, fusion, prf, sync
+from quern.operators import bm25, chunking, dense, embedding, filters, fusion, prf, reading, sync
 from quern.operators import catalog as states
 from quern.operators.catalog import Store
 from quern.sources import files as sources
 from quern.staging import once, staged
 
+#: Results of search_code where no number is asked for, and at most.
+LIMIT, MOST_RESULTS = 15, 50
+
 #: The catalog's rows, as index and reindex write them.
 CATALOG = (
     "codebase_path string, status string, indexed_files int, total_chunks int, index_status string, indexing_percentage double, error_message string, "
@@ -61,6 +67,7 @@ class Settings:
     preprocessing: bool = True
     feedback: bool = False
     reranking: bool = False
+    reranker: fusion.Reranker | Callable[[str, str], float] = fusion.overlap
     #: At most so many chunks of a codebase; None: all.
     chunk_limit: int | None = None
 
@@ -77,6 +84,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, store: Store | None = None, settings: Settings = Settings()):  # noqa: B008
         self.spark, self.store, self.settings = spark, store or Store(spark), settings
+        self.feedback = prf.Feedback()
 
     # --- settings
 
@@ -89,6 +97,17 @@ class Engine:
     def reset_ignore(self, more: str | list[str] = ()) -> None:
         self.settings = replace(self.settings, ignore=paths.ignore_patterns(paths.IGNORE, list(more) if not isinstance(more, str) else more))
 
+    def from_environment(self, file: str | None = None, ignore_file: str | None = None) -> None:
+        """Further extensions and ignore patterns as CUSTOM_EXTENSIONS and CUSTOM_IGNORE_PATTERNS name them (with commas; of the process, else of a
+        file of NAME=value lines), and the lines of a user's own ignore file."""
+        if more := sources.env_value("CUSTOM_EXTENSIONS", file):
+            self.add_extensions(more)
+        if more := sources.env_value("CUSTOM_IGNORE_PATTERNS", file):
+            self.add_ignore(more.split(","))
+        if ignore_file and os.path.exists(ignore_file):
+            with open(ignore_file, encoding="utf-8") as f:
+                self.settings = replace(self.settings, ignore=paths.ignore_patterns(self.settings.ignore, f.read()))
+
     def use(self, **changes) -> None:
         self.settings = replace(self.settings, **changes)
 
@@ -238,7 +257,10 @@ class Engine:
         if not s.feedback:
             return self._search(name, rows, among, prepared, top, threshold)
         first = staged(self._search(name, rows, among, prepared, max(12, 2 * top), 0.8 * threshold))  # read three times
-        expanded = prf.expand(prepared, first.select("query_id", F.col("rank").alias("doc"), "content"))
+        began = time.perf_counter()
+        expanded = staged(prf.expand(prepared, first.select("query_id", F.col("rank").alias("doc"), "content")))
+        counts = expanded.agg(F.count("*"), F.count(F.when(F.size("terms") > 0, 1))).first()
+        self.feedback.took(counts[0], counts[1], time.perf_counter() - began)
         again = expanded.where(F.size("terms") > 0).select("query_id", F.col("expanded").alias("text"))
         second = self._search(name, rows, among, again, top, threshold)
         key = ["relative_path", "start_line", "end_line"]
@@ -246,6 +268,25 @@ class Engine:
         both = second.withColumn("source", F.lit(0)).unionByName(first.withColumn("source", F.lit(1))).drop("rank")
         return merged.join(both, ["query_id", *key, "source"]).select("query_id", "rank", "score", "content", *key, "language")
 
+    def search_code(self, codebase: str, query: str, limit: int = LIMIT, extensions: list[str] = (), **flags) -> DataFrame:
+        """Results for one query as a reader sees them: (rank, score, text), `limit` of them but no more than MOST_RESULTS.
+
+        `extensions` keeps files of these only, and must name extensions; `flags` are settings (feedback, reranking, ...) for this call. A folder
+        within an indexed codebase is searched in that one.
+        """
+        kept = paths.checked_extensions(list(extensions))
+        listed = ", ".join("'" + e.replace("'", "") + "'" for e in kept)
+        asked = self.spark.createDataFrame([(0, query)], "query_id long, text string")
+        if not self.has_index(codebase):
+            above = states.parent_index(self.spark.createDataFrame([(codebase,)], "path string"), self.catalog()).first()
+            codebase = above.indexed or codebase
+        before, self.settings = self.settings, replace(self.settings, **flags)
+        try:
+            found = self.search(codebase, asked, max(1, min(limit, MOST_RESULTS)), 0.3, f"fileExtension in [{listed}]" if kept else "")
+        finally:
+            self.settings = before
+        return reading.formatted(found.withColumn("codebase", F.lit(os.path.basename(codebase.rstrip("/"))))).select("rank", "score", "text")
+
     def _search(self, name: str, rows: DataFrame, among: DataFrame | None, queries: DataFrame, top: int, threshold: float) -> DataFrame:
         s = self.settings
         fetch = fusion.candidates(top, s.hybrid, s.reranking)
@@ -260,7 +301,7 @@ class Engine:
             found = results_of(dense.top_k(vectors, asked, fetch, dim, threshold), rows)
         if s.reranking:
             texts = found.join(queries, "query_id").withColumn("doc", fusion.rerank_text(F.col("relative_path"), F.col("content")))
-            found = fusion.rerank(texts, top).drop("text", "doc", "rerank_score")
+            found = fusion.rerank(texts, top, s.reranker).drop("text", "doc", "rerank_score")
         return found.where(F.col("rank") <= top).select("query_id", "rank", "score", "content", "relative_path", "start_line", "end_line", "language")
 
 

@@ -144,6 +144,24 @@ def test_settings_take_effect(spark, tmp_path):
     assert "src/" not in e.settings.ignore
 
 
+def test_one_query_as_a_reader_sees_it(spark, tmp_path, monkeypatch):
+    e = Engine(spark, Store(spark, f"file://{tmp_path}/s"))
+    (tmp_path / "env").write_text("CUSTOM_EXTENSIONS=txt, .cfg\nOTHER=1\n")
+    (tmp_path / "ignore").write_text("# mine\nold/\n")
+    monkeypatch.setenv("CUSTOM_IGNORE_PATTERNS", "tmp/,*.log")
+    e.from_environment(str(tmp_path / "env"), str(tmp_path / "ignore"))
+    assert {".txt", ".cfg"} <= set(e.settings.extensions) and {"tmp/", "*.log", "old/"} <= set(e.settings.ignore)
+    e.index("/repo", files(spark, ONE | {"a.txt": "read_file of a path\n", "old/b.py": "read_file\n"}))
+    got = e.search_code("/repo", "read_file path", 1).collect()
+    assert len(got) == 1 and got[0].text.startswith("1. Code snippet (")
+    only = e.search_code("/repo/src", "read_file path", 99, [" .txt "]).collect()  # a folder of an indexed codebase
+    assert len(only) == 1 and "a.txt:1-" in only[0].text
+    with pytest.raises(ValueError, match="txt"):
+        e.search_code("/repo", "x", extensions=["txt"])
+    e.search_code("/repo", "read_file path", feedback=True).collect()
+    assert not e.settings.feedback and e.feedback.stats()["total_queries"] == 1
+
+
 def test_stream(spark, tmp_path):
     at = lambda m: datetime.datetime(2025, 1, 1, 0, m)
     store = Store(spark, f"file://{tmp_path}/store")

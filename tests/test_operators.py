@@ -62,6 +62,16 @@ def test_rerank_neutral_on_failure(spark):
         return 0.9 if d else 0.1
 
     assert [(r.id, r.rerank_score) for r in fusion.rerank(df, 3, scorer).orderBy("rank").collect()] == [("a", 0.9), ("b", 0.5), ("c", 0.1)]
+
+    class Batches(fusion.Reranker):
+        def score(self, queries, documents):
+            if len(documents) > 16 or "d39" in documents:
+                raise ValueError
+            return [0.001 * int(d[1:]) for d in documents]
+
+    many = spark.createDataFrame([(1, f"i{n:02d}", "q", f"d{n}", n) for n in range(40)], "query_id long, id string, text string, doc string, rank int").coalesce(1)
+    got = {r.id: r.rerank_score for r in fusion.rerank(many, 40, Batches()).collect()}
+    assert got == {f"i{n:02d}": 0.5 if n >= 32 else round(0.001 * n, 6) for n in range(40)}  # 16, 16 and a batch that fails
     assert fusion.candidates(20, True, True) == 50 and fusion.candidates(5, False, True) == 10 and fusion.candidates(5, True, False) == 5
 
 
@@ -192,6 +202,39 @@ def test_directories_come_first(spark):
     assert [(r.name, r.kind) for r in reading.list_directory(df).collect()] == [("Beta", "directory"), ("zeta", "directory"), ("A.py", "file"), ("b.py", "file")]
 
 
+LOG = """Tool Call: 'edit'
+   Arguments: {'file_path': '/repo/src/a.py', 'old_string': "def a():\\n    pass", 'new_string': 'def a(x):\\n    return "x"'}
+   Arguments: {'path': '/repo'}
+   Arguments: {'file_path': '/repo/b.py', 'old_string': 'it\\'s',
+     'new_string': 'that'}
+   Arguments: {'file_path': '/repo/c.py'}
+"""
+
+
+def test_edits_of_a_log(spark):
+    logs = spark.createDataFrame([(1, LOG), (2, None), (3, "nothing")], "doc_id long, text string")
+    calls = evaluation.edit_calls(logs)
+    got = [tuple(r) for r in calls.orderBy("call_no").collect()]
+    assert got == [(1, 1, "/repo/src/a.py", "def a():\n    pass", 'def a(x):\n    return "x"'), (1, 2, "/repo/b.py", "it's", "that")]
+    files = spark.createDataFrame([("/repo/src/a.py", "import os\n\ndef a():\n    pass\n")], "relative_path string, content string")
+    diffs = {r.file_path: r for r in evaluation.edit_diffs(calls, files).collect()}
+    assert diffs["/repo/src/a.py"].line == 3 and diffs["/repo/src/a.py"].diff.startswith("# Edit starting at line 3\n--- a/") and diffs["/repo/b.py"].line is None and diffs["/repo/b.py"].diff.startswith("--- a/")
+
+
+def test_paths_that_a_transcript_tells(spark):
+    text = 'x\n Successfully modified file: /repo/a.py \nedit {"file_path": "/repo/b.py"} Successfully modified file: c.py\nSuccessfully modified file: /repo2/a.py\nSuccessfully modified file: /repo/a.py'
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    assert [(r.path, r.place) for r in evaluation.edited_paths(df, "/repo/").orderBy("place").collect()] == [("a.py", 1), ("c.py", 2), ("b.py", 3), ("/repo2/a.py", 4)]
+
+
+def test_tokens_and_tools(spark):
+    m = spark.createDataFrame([("a", 5, 2, None), ("a", 1, 1, 9), ("b", 0, 0, None), ("c", None, None, None)], "instance_id string, input_tokens long, output_tokens long, total_tokens long")
+    assert {tuple(r) for r in evaluation.token_totals(m).collect()} == {("a", 6, 3, 16, 9), ("b", 0, 0, 0, 0), ("c", 0, 0, 0, 0)}
+    calls = spark.createDataFrame([("a", "grep"), ("a", "read"), ("a", "grep"), ("b", None)], "instance_id string, tool string")
+    assert {(r.instance_id, tuple(sorted(r.tool_call_counts.items())), r.total_tool_calls) for r in evaluation.tool_stats(calls).collect()} == {("a", (("grep", 2), ("read", 1)), 3), ("b", (("unknown", 1),), 1)}
+    assert evaluation.subset_share(spark.createDataFrame([], "difficulty string, patch string"), "x", 2).first().percent == 0
+
+
 def test_once_keeps_one_row_of_a_key(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "w"), ("b", 5, None), (None, 9, "n"), ("c", None, None), ("c", None, None)], "id string, n int, t string")
     got = {tuple(r) for r in staging.once(rows, "id", lambda rest: F.max(F.struct(*rest))).collect()}
