@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Query vectors that one pass over the rows takes along (64 floats each: 5 MB).
-QUERIES_A_PASS = 20_000
+#: Bytes of query vectors that one pass over the rows takes along, and scores that a task holds at a time.
+BYTES_A_PASS, SCORES_AT_ONCE = 16 << 20, 1 << 22
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -45,15 +45,15 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64, least
 
     rows (id, vector), queries (query_id, vector). Unusable vectors are in no result; scores are rounded to 6 digits
     before they are ranked. Each task multiplies its rows with all query vectors of the pass and keeps k a query, so that what is
-    shuffled is k rows a query and task. Queries beyond QUERIES_A_PASS take further passes.
+    shuffled is k rows a query and task. Queries beyond BYTES_A_PASS take further passes.
     """
     asked = queries.where(usable(F.col("vector"), dim)).select("query_id", "vector")
     parts = []
     count = asked.count()
-    passes = max(1, -(-count // QUERIES_A_PASS))
+    passes = max(1, -(-count * dim * 8 // BYTES_A_PASS))
     for i in range(passes):
         block = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
-        own = block.toPandas()  # at most about QUERIES_A_PASS rows
+        own = block.toPandas()  # about BYTES_A_PASS
         if not len(own):
             continue
         q = np.stack([np.asarray(v, np.float64) for v in own.vector])
@@ -62,9 +62,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64, least
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             ids, q = sent.value
             best: pd.DataFrame | None = None
+            step = max(1, min(2048, SCORES_AT_ONCE // len(ids)))
             for p in batches:
-                for lo in range(0, len(p), 2048):
-                    b = p.iloc[lo : lo + 2048]
+                for lo in range(0, len(p), step):
+                    b = p.iloc[lo : lo + step]
                     x = np.stack([np.asarray(v, np.float64) for v in b.vector])
                     s = np.round(np.clip((q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T), -1, 1), 6) + 0.0
                     m = min(k, s.shape[1])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -19,7 +21,9 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _sent:
         return
     root = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(prefix="quern-"), "quern-source.zip")
+    made = tempfile.mkdtemp(prefix="quern-")  # read by the driver's file server
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    path = os.path.join(made, "quern-source.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))

@@ -60,6 +60,21 @@ def remote_files(tree: DataFrame) -> DataFrame:
     return tree.where((F.col("type") == "blob") & F.col("path").rlike(REMOTE))
 
 
+def read_instances(spark: SparkSession, path: str) -> DataFrame:
+    """Instances of an evaluation: a JSON file that holds them under `instances`, or lines of JSON, one each."""
+    lines = spark.read.json(path)
+    if "_corrupt_record" not in lines.columns and "instances" not in lines.columns:
+        return lines
+    whole = spark.read.option("multiLine", True).json(path)
+    return whole.select(F.explode("instances").alias("i")).select("i.*") if "instances" in whole.columns else whole
+
+
+def done_instances(spark: SparkSession, folder: str, result: str = "result.json") -> DataFrame:
+    """(instance_id) of those that have a result: the names of the folders in which it lies. Only names are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", result).load(folder)
+    return files.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("instance_id")).distinct()
+
+
 def not_done(instances: DataFrame, done: DataFrame, most: int | None = None) -> DataFrame:
     """Instances that are still to be run; with a limit, `most` in all, those done counted."""
     left = instances.join(done.select("instance_id").distinct(), "instance_id", "left_anti")

@@ -31,7 +31,7 @@ def test_dense_passes_agree(spark, monkeypatch):
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(9, 4)))] + [(99, None)], "query_id long, vector array<float>")
     one = sorted(map(tuple, dense.top_k(r, q, 5, 4).collect()))
     assert len(one) == 45 and {x[0] for x in one} == set(range(9))
-    monkeypatch.setattr(dense, "QUERIES_A_PASS", 2)
+    monkeypatch.setattr(dense, "BYTES_A_PASS", 16 * 2)
     assert sorted(map(tuple, dense.top_k(r, q, 5, 4).collect())) == one
     assert dense.top_k(r, q.limit(0), 5, 4).count() == 0 and dense.top_k(r.limit(0), q, 5, 4).count() == 0
 
@@ -235,6 +235,18 @@ def test_tokens_and_tools(spark):
     assert evaluation.subset_share(spark.createDataFrame([], "difficulty string, patch string"), "x", 2).first().percent == 0
 
 
+def test_instances_and_what_is_done(spark, tmp_path):
+    (tmp_path / "lines.jsonl").write_text('{"instance_id": "a", "patch": "x"}\n{"instance_id": "b", "patch": null}\n')
+    (tmp_path / "whole.json").write_text('{\n "metadata": {"n": 2},\n "instances": [\n  {"instance_id": "a"},\n  {"instance_id": "c"}\n ]\n}\n')
+    (tmp_path / "runs" / "a").mkdir(parents=True)
+    (tmp_path / "runs" / "a" / "result.json").write_text("{}")
+    (tmp_path / "runs" / "b").mkdir()
+    (tmp_path / "runs" / "b" / "log.txt").write_text("broken off")
+    done = sources.done_instances(spark, str(tmp_path / "runs"))
+    left = lambda name: [r.instance_id for r in sources.not_done(sources.read_instances(spark, str(tmp_path / name)), done).orderBy("instance_id").collect()]
+    assert left("lines.jsonl") == ["b"] and left("whole.json") == ["c"]
+
+
 def test_once_keeps_one_row_of_a_key(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "w"), ("b", 5, None), (None, 9, "n"), ("c", None, None), ("c", None, None)], "id string, n int, t string")
     got = {tuple(r) for r in staging.once(rows, "id", lambda rest: F.max(F.struct(*rest))).collect()}
