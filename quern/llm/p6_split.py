@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BOUNDARY = re.compile(r"\n|(?<=[.;,:!?)\]}>|&])\s*|\s+")
 DECLARATION = re.compile(r"^(?:[@#/*]|export\b|public\b|private\b|def\b|class\b|async\b|func\b|function\b|fn\b|impl\b|struct\b|interface\b|describe\b|module\b|pub\b|static\b|final\b)")
 
 
