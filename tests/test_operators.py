@@ -24,6 +24,26 @@ def test_rank_values_against_sorting(spark):
     assert len(got) == len({x[:2] for x in rows})
 
 
+def test_rank_values_over_many_groups_and_batches(spark):
+    """Groups that go on over batches and ranges, null groups, keys that are structures."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1, 2, *range(3, 400)]) if rng.random() < 0.6 else 7, rng.choice("ab"), rng.randrange(3000)) for _ in range(9000)]
+    df = spark.createDataFrame(rows, "g int, h string, k int").withColumn("key", F.struct((F.col("k") / 10).cast("int").alias("a"), "k"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {(r.g, r.h, r.key.k): (r.n_before, r.n_equal) for r in rank_values(df, ["g", "h"], "key").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    by = {}
+    for g, h, k in rows:
+        by.setdefault((g, h), []).append(k)
+    assert len(got) == len(set(rows))
+    for (g, h), own in by.items():
+        own.sort()
+        assert all(got[g, h, k] == (own.index(k), own.count(k)) for k in set(own))
+
+
 def test_dense_passes_agree(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(f"r{i}", v.tolist()) for i, v in enumerate(rng.normal(size=(60, 4)))] + [("null", None), ("zero", [0.0] * 4), ("short", [1.0]), ("nan", [float("nan")] * 4), ("part", [None, 1.0, 1.0, 1.0])]
