@@ -185,8 +185,8 @@ class Engine:
 
     def _index(self, codebase: str, name: str, files: DataFrame | None) -> str:
         if files is None:
-            files = sources.read_folder(self.spark, codebase)
             self.add_ignore(sources.read_ignore_files(self.spark, codebase))
+            files = sources.read_folder(self.spark, codebase, self.settings.extensions, self.settings.ignore)
         code = sources.code_files(files, self.settings.extensions, self.settings.ignore)
         chunks, status, left_out = staged(self._chunks(code)), "completed", None
         self._record(codebase, "indexing", indexing_percentage=float(sync.progress_percent(1, 4)))
@@ -213,7 +213,7 @@ class Engine:
         Only chunks, postings and hashes of the files that changed are written. Equal roots of the two snapshots' trees end it at once.
         """
         name = self.collection(codebase)
-        files = sources.read_folder(self.spark, codebase) if files is None else files
+        files = sources.read_folder(self.spark, codebase, self.settings.extensions, self.settings.ignore) if files is None else files
         code = sources.code_files(files, self.settings.extensions, self.settings.ignore)
         before, after = self.store.read(name + "_files"), staged(sync.snapshot(code))
         same = only is None and sync.unchanged(before, after)

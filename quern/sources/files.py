@@ -6,7 +6,9 @@ import base64
 import json
 import os
 import urllib.parse
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -14,13 +16,29 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from quern.functions.paths import EXTENSIONS, IGNORE, REMOTE, extension, first_pattern, ignore_patterns, ignored, language_of
 
 
-def read_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """(relative_path, content) of all files below a folder but hidden ones; bytes that are no UTF-8 become replacement signs."""
+def read_folder(spark: SparkSession, folder: str, extensions: list[str] | None = None, patterns: list[str] | None = None) -> DataFrame:
+    """(relative_path, content) of all files below a folder but hidden ones; bytes that are no UTF-8 become replacement signs.
+
+    With rules only files that are indexed are read: names are listed without their contents, and of a folder that Python can open (a
+    local or mounted one) the contents of what is left are read where the names lie. Of other file systems contents are read with the names.
+    """
     base = folder.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     plain = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
     relative = F.substring(plain, len("/" + base.split(":", 1)[-1].lstrip("/")) + 2, 1 << 30)
-    return files.select(relative.alias("relative_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    ruled = extensions is not None or patterns is not None
+    kept = (lambda df: code_files(df, extensions or EXTENSIONS, patterns if patterns is not None else IGNORE)) if ruled else (lambda df: df)
+    if ruled and (":" not in base.split("/", 1)[0] or base.startswith("file:")):
+        names = kept(files.select(relative.alias("relative_path"), "path")).select("relative_path", "path")
+
+        def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in parts:
+                for name, path in zip(p.relative_path, p.path, strict=True):
+                    with open("/" + path.split(":", 1)[-1].lstrip("/"), "rb") as f:
+                        yield pd.DataFrame({"relative_path": [name], "content": [f.read().decode("utf-8", "replace")]})
+
+        return names.mapInPandas(read, "relative_path string, content string")
+    return kept(files.select(relative.alias("relative_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))).select("relative_path", "content")
 
 
 def read_ignore_files(spark: SparkSession, folder: str) -> list[str]:

@@ -208,6 +208,12 @@ def test_folder_scan(spark, tmp_path):
     code = sources.code_files(files, patterns=[*sources.IGNORE, "secret/"])
     assert {r.relative_path: r.language for r in code.collect()} == {"a b/x+y%.py": "python", "m.ts": "typescript"}
     assert sources.read_ignore_files(spark, str(tmp_path / "secret")) == []
+    (tmp_path / "node_modules" / "z.js").chmod(0)
+    some = sources.read_folder(spark, str(tmp_path), sources.EXTENSIONS, [*sources.IGNORE, "secret/"])
+    assert {r.relative_path: r.content for r in some.collect()} == {"a b/x+y%.py": "1", "m.ts": "é"}
+    assert "content:binary" not in some._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "bytes.py").write_bytes(b"x\xff")
+    assert sources.read_folder(spark, f"file://{tmp_path}", [".py"], []).where("relative_path = 'bytes.py'").first().content == "x\ufffd"
 
 
 def test_grep_takes_each_line_by_itself(spark):
