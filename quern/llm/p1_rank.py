@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.distributed_rank import rank_values
+from quern.staging import staged
 
 #: Metrics of which a smaller score is better; of all others a larger one is.
 SMALLER_IS_BETTER = ("L2",)
@@ -37,7 +38,7 @@ def median_ranks(ranked: DataFrame, weights: DataFrame | None = None) -> DataFra
     """
     score = F.col("score").cast("double")
     finite = score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))
-    entries = (
+    entries = staged(
         ranked.where(finite & F.col("query_id").isNotNull() & F.col("id").isNotNull() & F.col("list_no").isNotNull())
         .select(
             "query_id",

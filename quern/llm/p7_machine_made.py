@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.staging import staged
+from quern.staging import once, staged
 
 # What tools write, and where package managers put what they fetch.
 LOCK_NAMES = "package-lock.json npm-shrinkwrap.json yarn.lock pnpm-lock.yaml poetry.lock Pipfile.lock Gemfile.lock Cargo.lock composer.lock go.sum Podfile.lock mix.lock pubspec.lock packages.lock.json flake.lock uv.lock".split()
@@ -107,6 +107,7 @@ def header(text: str) -> tuple[bool, bool, bool, bool, bool]:
 
 #: A line of at least LINE characters counts, once a file.
 LINE = 12
+HASHES = f"array_distinct(transform(filter(transform(split(content, '\\n'), x -> trim(x)), x -> length(x) >= {LINE}), x -> xxhash64(x)))"
 
 
 def chunk_measures(chunks: DataFrame) -> DataFrame:
@@ -116,7 +117,6 @@ def chunk_measures(chunks: DataFrame) -> DataFrame:
     measures (of copies that disagree, those of the longest content hold). Chunks without a path are no file's.
     """
     index = F.get_json_object("metadata", "$.chunkIndex").try_cast("long")
-    lines = f"array_distinct(transform(filter(transform(split(content, '\\n'), x -> trim(x)), x -> length(x) >= {LINE}), x -> xxhash64(x)))"
     rows = chunks.where("relative_path is not null").select(
         "id",
         "relative_path",
@@ -125,7 +125,7 @@ def chunk_measures(chunks: DataFrame) -> DataFrame:
         F.regexp_replace(F.lower(F.coalesce("file_extension", F.lit(""))), r"^\s*\.|\s+$", "").alias("ext"),
         F.coalesce("content", F.lit("")).alias("content"),
     )
-    rows = rows.withColumn("hs", F.expr(lines))
+    rows = rows.withColumn("hs", F.expr(HASHES))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -207,12 +207,12 @@ def file_lines(hashed: DataFrame, known: DataFrame) -> DataFrame:
     return lines.where("chunks = 1").select(columns).unionByName(lines.where("chunks > 1").select(columns).distinct())
 
 
-def vendored_edits(hashed: DataFrame, known: DataFrame) -> DataFrame:
+def vendored_edits(hashed: DataFrame, known: DataFrame, contained: float = CONTAINED) -> DataFrame:
     """(relative_path, origin, containment): files that nothing marks, most of whose lines are in a vendored file of another repository.
 
     hashed: (relative_path, hs) of all chunks; known: (relative_path, repo, why, chunks) of all files. Files of equal lines are one class (by
     count, sum and exclusive or of the hashes of their distinct lines), so that a copied file, however often, counts once on either side.
-    The vendored classes' lines are the inverted index. Of the others' lines only those in it are kept; a class of which less than CONTAINED
+    The vendored classes' lines are the inverted index. Of the others' lines only those in it are kept; a class of which less than `contained`
     are, is no copy, whatever it is compared with. For the few that remain, the rarest lines name the vendored classes they may come from,
     by the number of these, until they are more than a copy may have of its own (so that none can lack them all, however many classes share
     them). For these pairs the shared lines are counted, rare or not: distinct lines of the asking file that the vendored one has.
@@ -239,16 +239,16 @@ def vendored_edits(hashed: DataFrame, known: DataFrame) -> DataFrame:
     asked = lines.select("relative_path", "h").join(classes.where("origin is null").select(F.col("other").alias("relative_path"), F.col("class").alias("a"), "n"), "relative_path").select("a", "n", "h")
     wanted = F.broadcast(rare.select("h")) if rare.count() <= BROADCAST_LINES else rare.select("h")
     matched = staged(asked.join(wanted, "h", "left_semi"))
-    enough = matched.groupBy("a").agg(F.count("*").alias("m"), F.max("n").alias("n")).where(F.col("m") >= CONTAINED * F.col("n")).select("a", "m")
+    enough = matched.groupBy("a").agg(F.count("*").alias("m"), F.max("n").alias("n")).where(F.col("m") >= contained * F.col("n")).select("a", "m")
     mine = staged(matched.join(enough, "a").join(rare, "h"))
-    # more than n - m + place lines are read with this one; a copy may lack (1 - CONTAINED) n
+    # more than n - m + place lines are read with this one; a copy may lack (1 - contained) n
     place = F.row_number().over(W.partitionBy("a").orderBy("df", "h"))
-    telling = mine.withColumn("place", place).where(F.col("n") - F.col("m") + F.col("place") - 1 <= (1 - CONTAINED) * F.col("n") + 1e-6)
+    telling = mine.withColumn("place", place).where(F.col("n") - F.col("m") + F.col("place") - 1 <= (1 - contained) * F.col("n") + 1e-6)
     pairs = telling.select("a", "h").join(index, "h").select("a", "b").distinct()
     shared = (
         pairs.join(mine, "a").join(index, ["b", "h"])
         .groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
-        .where(F.col("shared") >= CONTAINED * F.col("n"))
+        .where(F.col("shared") >= contained * F.col("n"))
     )
     whole = classes.where("origin is not null and other is not null").select(F.col("class").alias("a"), F.col("class").alias("b"), F.col("n").alias("shared"), "n")
     origins = classes.where("origin is not null").select(F.col("class").alias("b"), "origin", "first_repo", "last_repo")
@@ -278,3 +278,14 @@ def machine_made(chunks: DataFrame) -> DataFrame:
     return known.join(edits, "relative_path", "left").select(
         "relative_path", "repo", F.coalesce("why", F.when(F.col("origin").isNotNull(), F.lit("vendored"))).alias("why"), "origin", "containment"
     )
+
+
+def shared_lines(chunks: DataFrame, least: float) -> DataFrame:
+    """(relative_path, origin, containment): of each file outside the folders of vendored code the vendored file of another repository that has
+    most of its lines, and which share, where that is `least` or more: the index by itself, without what other rules say of a file."""
+    rows = chunks.where("relative_path is not null").select("id", "relative_path", F.col("collection_name").alias("repo"), F.coalesce("content", F.lit("")).alias("content")).withColumn("hs", F.expr(HASHES)).drop("content")
+    rows = staged(once(rows, "id", lambda rest: F.max(F.struct(*rest))))
+    dirs = F.split(F.regexp_replace("relative_path", r"/?[^/]*$", ""), "/")
+    why = F.when(F.arrays_overlap(dirs, F.array(*map(F.lit, VENDOR_DIRS))), "vendored")
+    known = rows.groupBy("relative_path").agg(F.min("repo").alias("repo"), F.count("*").alias("chunks")).withColumn("why", why)
+    return vendored_edits(rows.select("relative_path", "hs"), staged(known), least)

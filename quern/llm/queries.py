@@ -72,6 +72,14 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return p6_split.split_oversized(table(spark, d, "code_chunks"), table(spark, d, "splitter_config"))
 
 
+def p6_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The own parts of each chunk's pieces, joined again; and the longest piece."""
+    own = F.struct("piece_no", F.expr("substring(content, own_start - start + 1)").alias("own"), "content")
+    joined = p6_pieces(spark, d).groupBy("chunk_no").agg(F.array_sort(F.collect_list(own)).alias("p"), F.max("chunk_size").alias("chunk_size"))
+    text = F.array_join(F.transform("p", lambda x: x["own"]), "")
+    return joined.select("chunk_no", F.md5(text).alias("digest"), F.forall("p", lambda x: F.length(x["content"]) <= F.col("chunk_size")).alias("fits"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_machine_made.machine_made(table(spark, d, "chunks")).where("why is not null").select("relative_path")
 
@@ -80,6 +88,11 @@ def p7_files(spark: SparkSession, d: str) -> DataFrame:
     return p7_machine_made.machine_made(table(spark, d, "chunks"))
 
 
+def p7_vendored(spark: SparkSession, d: str) -> DataFrame:
+    """With a share so low that files of the tables have it."""
+    return p7_machine_made.shared_lines(table(spark, d, "chunks"), 0.05)
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return p8_pack.pack(table(spark, d, "documents"), table(spark, d, "pack_limits"))
 
@@ -111,7 +124,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (
         p1_found, p1_order, p2_found, p2_error, p3_found, p3_scores, p4_found, p4_groups, p4_nearest, p4_recall, p5_found, p5_redacted,
-        p6_found, p6_pieces, p7_found, p7_files, p8_packed, p8_room, p9_mixture, p9_shares, p10_found, p10_classes, p10_forms,
+        p6_found, p6_pieces, p6_whole, p7_found, p7_files, p7_vendored, p8_packed, p8_room, p9_mixture, p9_shares, p10_found, p10_classes, p10_forms,
     )
     return {f.__name__: f for f in each}
 
@@ -163,6 +176,16 @@ WITH v AS (
   SELECT id, min(list_transform(vector, lambda x: CAST(x AS DOUBLE))) AS v FROM vectors
   WHERE id IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(vector, lambda x: x * x)) > 0 GROUP BY id)
 SELECT a.id AS id_a, b.id AS id_b FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.95""",
+        "p6_whole": """
+SELECT chunk_no, md5(max(content)) AS digest, TRUE AS fits FROM code_chunks WHERE chunk_no IS NOT NULL AND content IS NOT NULL GROUP BY chunk_no""",
+        "p7_vendored": f"""
+WITH c AS (SELECT max(struct_pack(p := relative_path, r := collection_name, t := coalesce(content, ''))) AS x FROM chunks WHERE id IS NOT NULL AND relative_path IS NOT NULL GROUP BY id),
+r AS (SELECT x.p AS p, min(x.r) AS repo FROM c GROUP BY x.p),
+l AS (SELECT DISTINCT p, trim(line) AS h FROM (SELECT x.p AS p, unnest(string_split(x.t, chr(10))) AS line FROM c) WHERE length(trim(line)) >= {p7_machine_made.LINE}),
+f AS (SELECT p, any_value(repo) AS repo, count(*) AS n, regexp_matches(p, '(^|/)({'|'.join(p7_machine_made.VENDOR_DIRS)})/') AS m FROM l JOIN r USING (p) GROUP BY p HAVING count(*) >= {p7_machine_made.LEAST_LINES}),
+s AS (SELECT a.p AS relative_path, b.p AS origin, count(*) / any_value(fa.n) AS containment FROM l a JOIN f fa ON fa.p = a.p AND NOT fa.m JOIN l b ON a.h = b.h JOIN f fb ON fb.p = b.p AND fb.m
+  WHERE fa.repo <> fb.repo GROUP BY a.p, b.p HAVING count(*) / any_value(fa.n) >= 0.05)
+SELECT relative_path, arg_max(origin, struct_pack(c := containment, o := origin)) AS origin, round(max(containment), 6) AS containment FROM s GROUP BY relative_path""",
         "p6_found": """
 WITH c AS (SELECT language, min(chunk_size) AS size FROM splitter_config WHERE language IS NOT NULL AND chunk_size > 0 GROUP BY language),
 r AS (SELECT chunk_no, max(content) AS content, max(language) AS language FROM code_chunks WHERE chunk_no IS NOT NULL GROUP BY chunk_no)
