@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,23 +41,40 @@ NUMBERED = re.compile(r"[A-Za-z_]\d+\b|_\d+_")
 HEADER_LINES, LONG_LINE = 8, 400
 
 
+INTEGRITY = re.compile(r"\b(?:integrity|resolved|checksum)\b|h1:[\w+/]{20}|sha\d{3}[-:]")
+KEYS = re.compile(r"[\"']?(\w+)[\"']?\s*:")
+LETTERS, DIGITS = re.compile(r"[A-Za-z]+"), re.compile(r"\d+")
+
+
+def line_facts(x: str) -> tuple[bool, tuple[str, ...] | None, str | None, bool]:
+    """Of a line by itself: is it numbers or encoded bytes; the keys of a record that has a digit; its form, if it has a numbered name (lines of
+    one form have one, or none); does it hold a digest as lock files do."""
+    data = NUMBERS.match(x) is not None or ENCODED.match(x) is not None
+    record = tuple(KEYS.findall(x)) if RECORD.match(x) else None
+    form = DIGITS.sub("0", LETTERS.sub("a", x)) if NUMBERED.search(x) else None
+    return data, record, form, INTEGRITY.search(x) is not None
+
+
+kept_facts = lru_cache(maxsize=1 << 17)(line_facts)
+
+
 def measures(text: str) -> tuple:
     """Sums over the lines of a chunk (so that they add up over a file): see COUNTS."""
     lines = text.split("\n")
     filled = [x for x in lines if x.strip()]
-    long_chars = sum(len(x) for x in lines if len(x) > LONG_LINE)
-    forms = Counter(re.sub(r"\d+", "0", re.sub(r"[A-Za-z]+", "a", x)) for x in filled)
+    long_ = [x for x in lines if len(x) > LONG_LINE]
+    facts = [kept_facts(x) if len(x) <= LONG_LINE else line_facts(x) for x in filled]
+    keys = Counter(f[1] for x, f in zip(filled, facts, strict=True) if f[1] is not None and len(x) < 2 * LONG_LINE)
+    forms = Counter(f[2] for f in facts if f[2] is not None)
     data = records = numbered = 0
-    keys = Counter(tuple(re.findall(r"[\"']?(\w+)[\"']?\s*:", x)) for x in filled if RECORD.match(x) and len(x) < 2 * LONG_LINE)
-    for x in filled:
-        if NUMBERS.match(x) or ENCODED.match(x):
+    for x, (is_data, record, form, _) in zip(filled, facts, strict=True):
+        if is_data:
             data += len(x)
-        elif RECORD.match(x) and len(k := tuple(re.findall(r"[\"']?(\w+)[\"']?\s*:", x))) > 1 and keys[k] >= 4 and re.search(r"\d", x):
+        elif record is not None and len(record) > 1 and keys[record] >= 4 and DIGITS.search(x):
             records += len(x)
-        if NUMBERED.search(x) and forms[re.sub(r"\d+", "0", re.sub(r"[A-Za-z]+", "a", x))] >= 3:
+        if form is not None and forms[form] >= 3:
             numbered += 1
-    integrity = sum(bool(re.search(r"\b(?:integrity|resolved|checksum)\b|h1:[\w+/]{20}|sha\d{3}[-:]", x)) for x in filled)
-    return len(text), len(filled), long_chars, sum(x.count(" ") for x in lines if len(x) > LONG_LINE), data, records, numbered, integrity
+    return len(text), len(filled), sum(map(len, long_)), sum(x.count(" ") for x in long_), data, records, numbered, sum(f[3] for f in facts)
 
 
 SAYS = "says_generated says_vendored block_generated block_vendored open".split()
@@ -74,7 +92,7 @@ def leading(text: str) -> tuple[int, bool]:
 
     A chunk that closes a comment which it does not open begins inside it.
     """
-    close = m[1] if (m := EDGE.search(text)) and m[1] else ""
+    close = m[1] if ("*/" in text or "-->" in text) and (m := EDGE.search(text)) and m[1] else ""
     lines = text.split("\n")
     for i, line in enumerate(lines):
         rest, begun = line.strip("\ufeff \t\r\f\v"), False
@@ -93,6 +111,14 @@ def leading(text: str) -> tuple[int, bool]:
     return len(lines), True
 
 
+def notice(x: str) -> tuple[bool, bool]:
+    """Whether a line says that a tool wrote the file, and whether it says that it comes from elsewhere."""
+    return GENERATED_HEADER.search(x) is not None, VENDORED_HEADER.search(x) is not None
+
+
+kept_notice = lru_cache(maxsize=1 << 16)(notice)
+
+
 def header(text: str) -> tuple[bool, bool, bool, bool, bool]:
     """Whether the first lines say that a tool wrote the file, or that it comes from elsewhere; whether the comment before the first line
     of code says so; and whether there is no such line, so that the comment may go on in the next chunk.
@@ -101,7 +127,8 @@ def header(text: str) -> tuple[bool, bool, bool, bool, bool]:
     """
     lines = text.split("\n")
     n, open_ = leading(text)
-    generated, vendored = ([bool(p.search(x)) for x in lines[: max(n, HEADER_LINES)]] for p in (GENERATED_HEADER, VENDORED_HEADER))
+    said = [kept_notice(x) if len(x) <= LONG_LINE else notice(x) for x in lines[: max(n, HEADER_LINES)]]
+    generated, vendored = [g for g, _ in said], [v for _, v in said]
     return any(generated), any(vendored), any(generated[:n]), any(vendored[:n]), open_
 
 
