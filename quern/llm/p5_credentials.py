@@ -172,6 +172,9 @@ CURL = frozenset("curl wget http https xh lftp ftp".split())
 SETS = frozenset("env arg setenv setx define #define".split())
 
 
+_FIRM = frozenset(("password", "passwd", "secret"))
+
+
 def name_class(name: str) -> str:
     parts = [w.lower() for w in WORDS.findall(name)]
     while len(parts) > 1 and (parts[-1] in NEUTRAL or parts[-1].isdigit()):
@@ -180,24 +183,27 @@ def name_class(name: str) -> str:
         return "none"
     last, rest = parts[-1], parts[:-1]
     if last in NOT_IT or parts[0] in ("max", "min", "num", "count", "n"):
-        return "about" if set(parts) & SECRET or "key" in parts else "other"
+        return "about" if not SECRET.isdisjoint(parts) or "key" in parts else "other"
     if last in ("keys", "tokens", "passwords"):
         return "about"
-    if set(parts) & PUBLIC and not set(parts) & {"password", "passwd", "secret"}:
+    if not PUBLIC.isdisjoint(parts) and _FIRM.isdisjoint(parts):
         return "public"
     if last in SECRET or (last.endswith(ENDS_SECRET) and last not in NOT_PASS):
         return "secret"
     if last in ("key", "seed", "salt"):
-        return "secret" if set(rest) & KEY_OF else "key"
+        return "secret" if not KEY_OF.isdisjoint(rest) else "key"
     if last in ("header", "connection", "conn", "cred"):
         return "channel"
     if last in ("hook", "webhook", "callback", "sas", "sig", "signature"):
         return "hook"
-    return "other_secret" if set(parts) & SECRET else "other"
+    return "other_secret" if not SECRET.isdisjoint(parts) else "other"
 
 
 def _decoded(v: str) -> str:
+    """What a base64 text of plain signs says; '' for any other."""
     try:
+        if max(binascii.a2b_base64(v[:4])) >= 128:
+            return ""
         return base64.b64decode(v + "=" * (-len(v) % 4), validate=True).decode("ascii")
     except (binascii.Error, UnicodeDecodeError, ValueError):
         return ""
