@@ -24,7 +24,17 @@ def test_no_product_of_tables(spark, name):
 
 def test_scan_reads_only_what_is_asked_for(spark):
     text = plan(registry.queries()["token_totals"](spark, SMALL))
-    assert "props" not in text and "event_type" not in text
+    assert "props" not in text and "ts:timestamp" not in text and "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string,value:double>" in text
+
+
+def test_ranking_sees_no_contents(spark):
+    text = plan(registry.queries()["bm25_topk"](spark, SMALL))
+    assert "content" not in text and "PushedFilters: [In(term, [" in text
+
+
+def test_only_rows_that_come_again_are_shuffled(spark):
+    text = plan(registry.queries()["language_map"](spark, SMALL))
+    assert "BroadcastHashJoin" in text and "LeftAnti" in text and "LeftSemi" in text
 
 
 def test_staged_tables_lie_in_the_shared_folder(spark):
