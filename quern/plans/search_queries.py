@@ -71,6 +71,13 @@ def cosine_kernel(spark, d):
     return rows.select("id", F.round(dense.cosine(F.col("vector"), F.array(*map(F.lit, AXIS))), 6).alias("score"))
 
 
+def index_statistics(spark, d):
+    """What the stored index of the corpus holds."""
+    found, stats = _index(spark, d)
+    sums = found.agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms"), F.sum("tf").alias("words"))
+    return sums.crossJoin(F.broadcast(stats)).select("postings", "terms", "words", "n_docs", F.round("avgdl", 6).alias("avgdl"))  # one row each
+
+
 def bm25_topk(spark, d):
     return bm25.top_k_of(*_index(spark, d), table(spark, d, "queries"), 10)
 
@@ -210,7 +217,7 @@ def query_top(spark, d):
 
 def queries():
     each = (
-        flagship_hybrid_search, dense_topk, dense_topk_batch, dense_threshold, dense_filtered, cosine_kernel, bm25_topk, rrf_fusion, rrf_fusion_top, weighted_fusion,
+        flagship_hybrid_search, dense_topk, dense_topk_batch, dense_threshold, dense_filtered, cosine_kernel, index_statistics, bm25_topk, rrf_fusion, rrf_fusion_top, weighted_fusion,
         file_type_weight, weighted_resort, rerank_texts, rerank_lexical, result_projection, result_previews, filter_expression, filter_default_limit,
         merge_dedupe_topk, match_class, parent_index, prf_code_tokens, prf_term_statistics, prf_expansion_terms, prf_expanded_query, prf_reasoning,
         prf_two_pass, tfidf_rank, query_variants, query_patterns, query_reasoning, query_best, query_top,
@@ -388,6 +395,7 @@ def oracle_sql() -> dict[str, str]:
 q AS (SELECT {axis}::DOUBLE[] AS q),
 p AS (SELECT id, list_transform(list_slice(v, 1, least(len(v), len(q))), lambda x: CAST(x AS DOUBLE)) AS a, list_transform(list_slice(q, 1, least(len(v), len(q))), lambda x: CAST(x AS DOUBLE)) AS b FROM v, q)
 SELECT id, round(CASE WHEN list_sum(list_transform(a, lambda x: x * x)) = 0 OR list_sum(list_transform(b, lambda x: x * x)) = 0 THEN 0 ELSE list_cosine_similarity(a, b) END, 6) AS score FROM p""",
+        "index_statistics": f"WITH {ROWS}, {_postings_sql()} SELECT count(*) AS postings, count(DISTINCT term) AS terms, CAST(sum(tf) AS BIGINT) AS words, any_value(n) AS n_docs, round(any_value(a), 6) AS avgdl FROM post, st",
         "bm25_topk": f"WITH {ROWS}, {VECTORS}, {_bm25_sql(10)} SELECT * FROM bm",
         "rrf_fusion": f"WITH {LISTS}, {RRF(60)} SELECT * FROM fused",
         "rrf_fusion_top": f"WITH {LISTS}, {RRF(100)} SELECT * FROM fused WHERE rank <= 5",
