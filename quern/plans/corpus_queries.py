@@ -144,7 +144,7 @@ def chunk_long_enough(spark, d):
 
 def chunk_cap(spark, d):
     rows = _code(spark, d).select("relative_path", F.col("seq").alias("chunk_index"))
-    kept, status = chunking.capped(rows)
+    kept, status = chunking.capped(rows, 120)  # the feature is the cap: one that every size of the table reaches or not
     return kept.withColumn("status", F.lit(status))
 
 
@@ -257,7 +257,7 @@ def targeted_update(spark, d):
 
 def index_progress(spark, d):
     c = catalog.latest_state(table(spark, d, "index_catalog"))
-    return c.where("indexed_files is not null").select("codebase_path", sync.progress(F.lit(20), F.col("indexed_files")).alias("percent"))
+    return c.where("indexed_files is not null").select("codebase_path", sync.progress(F.coalesce("total_chunks", F.lit(0)) % (F.col("indexed_files") + 1), F.col("indexed_files")).alias("percent"))
 
 
 # --- catalog
@@ -560,7 +560,7 @@ SELECT seq, relative_path, CASE WHEN tail IS NULL THEN start_line ELSE greatest(
 t AS (SELECT *, right(lag(content) OVER (PARTITION BY relative_path ORDER BY seq), 40) AS tail FROM d)
 SELECT seq, relative_path, CASE WHEN tail IS NULL THEN start_line ELSE greatest(1, start_line - len(string_split(tail, chr(10)))) END AS start_line, end_line, md5(CASE WHEN tail IS NULL THEN content ELSE concat(tail, chr(10), content) END) AS digest FROM t""",
         "chunk_long_enough": f"SELECT doc_id FROM documents WHERE length({TRIMMED('text')}) > 10",
-        "chunk_cap": f"WITH {CODE} SELECT relative_path, seq AS chunk_index, 'completed' AS status FROM code",
+        "chunk_cap": f"WITH {CODE} SELECT relative_path, seq AS chunk_index, CASE WHEN (SELECT count(*) FROM code) > 120 THEN 'limit_reached' ELSE 'completed' END AS status FROM code ORDER BY relative_path, seq LIMIT 120",
         "token_estimate": f"WITH {ROWS} SELECT file_extension, CAST(sum(ceil(length(content) / 4)) AS BIGINT) AS tokens FROM rows GROUP BY ALL",
         "embedding_text": "SELECT doc_id, md5(CASE WHEN text = '' THEN ' ' ELSE substr(text, 1, 32768) END) AS digest FROM documents",
         "embedding_reduced": """WITH v AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE)) AS h FROM embeddings), n AS (SELECT vec_id, h, sqrt(list_sum(list_transform(h, lambda x: x * x))) AS s FROM v)
@@ -583,7 +583,7 @@ FROM a FULL JOIN b ON a.relative_path = b.relative_path WHERE a.hash IS DISTINCT
         "merkle_nodes": f"WITH {WHOLE}, {_root_sql()} SELECT id, data, 1 AS parents, 0 AS children FROM leaf UNION ALL SELECT root, 'root', 0, 0 FROM rt",
         "reindex_delta": _changed_sql(),
         "targeted_update": _changed_sql("starts_with(relative_path, 'src/')"),
-        "index_progress": f"WITH {CATALOG} SELECT codebase_path, CAST(CASE WHEN indexed_files = 0 THEN 100 ELSE round(10 + 90 * 20 / indexed_files) END AS INTEGER) AS percent FROM cat WHERE indexed_files IS NOT NULL",
+        "index_progress": f"WITH {CATALOG} SELECT codebase_path, CAST(CASE WHEN indexed_files = 0 THEN 100 ELSE round(10 + 90 * (coalesce(total_chunks, 0) % (indexed_files + 1)) / indexed_files) END AS INTEGER) AS percent FROM cat WHERE indexed_files IS NOT NULL",
         "catalog_latest_state": f"WITH {CATALOG} SELECT codebase_path, status, coalesce(indexed_files, -1) AS indexed_files, coalesce(total_chunks, -1) AS total_chunks, {NTZ('last_updated')} AS last_updated FROM cat",
         "catalog_active": f"WITH {CATALOG} SELECT codebase_path FROM cat WHERE status = 'indexed'",
         "catalog_reconcile": f"WITH {CATALOG} SELECT codebase_path, status FROM cat WHERE codebase_path IN (SELECT CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.codebasePath') END FROM chunks)",
