@@ -140,8 +140,9 @@ def test_lines_not_trained_on():
     assert right / (right + wrong) > 0.97 and right / (right + missed) > 0.97
 
 
-#: Whole families of ways to write that the model has not seen, in five parts.
-FOLDS = [tuple([*p5_training.POSITIVE, *p5_training.NEGATIVE][i::5]) for i in range(5)]
+#: Whole families of ways to write that the model has not seen, in five parts; a family that is listed twice is in one part.
+NAMES = [n for n in (*p5_training.POSITIVE, *p5_training.NEGATIVE) if not n.endswith(" again")]
+FOLDS = [tuple(x for n in NAMES[i::5] for x in (n, f"{n} again") if x in p5_training.POSITIVE | p5_training.NEGATIVE) for i in range(5)]
 
 
 def test_families_not_trained_on():
