@@ -56,9 +56,10 @@ def status_text(catalog: DataFrame) -> DataFrame:
     return latest_state(catalog).select("codebase_path", text.alias("message"))
 
 
-def recent(repos: DataFrame, most: int = 5) -> DataFrame:
-    """The repositories indexed last, each once."""
+def recent(repos: DataFrame, most: int = 5, since: Column | None = None) -> DataFrame:
+    """The repositories indexed last, each once; with `since` none that were indexed before."""
     latest = repos.groupBy("id").agg(F.max("indexed_at").alias("indexed_at"))
+    latest = latest if since is None else latest.where(F.col("indexed_at") >= since)
     return latest.orderBy(F.desc("indexed_at"), "id").limit(most)
 
 

@@ -33,8 +33,14 @@ def list_directory(files: DataFrame, directory: str = "") -> DataFrame:
     return inside.select(F.regexp_extract(rest, "^[^/]+", 0).alias("name"), kind.alias("kind")).distinct().orderBy("kind", F.lower("name"), "name")
 
 
-def directory_tree(files: DataFrame, depth: int = 3) -> DataFrame:
-    """(path, level, files): each directory down to a depth, and how many files lie below it. Hidden ones are left out."""
+#: Directories that a tree does not show.
+SKIPPED = ["node_modules", "__pycache__", "venv", "env", "dist", "build"]
+
+
+def directory_tree(files: DataFrame, depth: int = 3, skipped: list[str] = ()) -> DataFrame:
+    """(path, level, files): each directory down to a depth, and how many files lie below it. Hidden ones are left out, and `skipped` ones."""
+    if skipped:
+        files = files.where(~F.arrays_overlap(F.split(F.regexp_replace("relative_path", "/?[^/]*$", ""), "/"), F.array(*map(F.lit, skipped))))
     parts = F.split("relative_path", "/")
     levels = F.sequence(F.lit(1), F.least(F.lit(depth), F.size(parts) - 1))
     prefixes = F.when(F.size(parts) > 1, F.transform(levels, lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("path"), i.alias("level"))))
@@ -46,6 +52,12 @@ def directory_tree(files: DataFrame, depth: int = 3) -> DataFrame:
     )
 
 
+def tree_text(tree: DataFrame) -> DataFrame:
+    """(path, line) of a directory_tree as a reader sees it, in the order of its paths: names indented by their level."""
+    name = F.regexp_extract("path", "[^/]+$", 0)
+    return tree.select("path", F.concat(F.repeat(F.lit("  "), F.col("level").cast("int") - 1), name, F.lit("/ ("), F.col("files").cast("string"), F.lit(")")).alias("line")).orderBy(F.split("path", "/"))
+
+
 def formatted(results: DataFrame, most: int = 5000) -> DataFrame:
     """results (query_id, rank, content, relative_path, start_line, end_line, language, codebase) with `text` as a reader sees it."""
     body = F.when(F.length("content") > most, F.concat(F.substring("content", 1, most), F.lit("..."))).otherwise(F.col("content"))

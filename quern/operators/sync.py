@@ -63,6 +63,29 @@ def merkle_root(files: DataFrame) -> DataFrame:
     return top.select(F.sha2(F.concat(F.lit("root:"), F.array_join(F.transform("all", lambda x: x["h"]), "")), 256).alias("root"))
 
 
+NODE = "id string, data string, parents array<string>, children array<string>"
+
+
+def roots(nodes: DataFrame) -> DataFrame:
+    """The nodes without a parent."""
+    return nodes.where(F.size("parents") == 0)
+
+
+def leaves(nodes: DataFrame) -> DataFrame:
+    """The nodes that have a parent and no child: the files."""
+    return nodes.where((F.size("parents") > 0) & (F.size("children") == 0))
+
+
+def to_lines(nodes: DataFrame) -> DataFrame:
+    """Nodes as lines of JSON (value)."""
+    return nodes.select(F.to_json(F.struct("id", "data", "parents", "children")).alias("value"))
+
+
+def from_lines(lines: DataFrame) -> DataFrame:
+    """Nodes of lines (value) as to_lines writes them; a line that is none is passed over."""
+    return lines.select(F.from_json("value", NODE).alias("n")).select("n.*").where("id is not null")
+
+
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     """(relative_path, change): added, modified or removed, of two snapshots (relative_path, hash)."""
     a, b = before.select("relative_path", F.col("hash").alias("old")), after.select("relative_path", F.col("hash").alias("new"))

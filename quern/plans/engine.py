@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import time
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -254,20 +255,38 @@ class Engine:
         if s.preprocessing:
             p = query_prep.best(query_prep.preprocess(prepared))
             prepared = query_prep.top(p).select("query_id", F.when(F.col("multi"), F.get("top", F.lit(0))).otherwise(F.col("best")).alias("text"))
+        plain = self._search(name, rows, among, prepared, top, threshold)
         if not s.feedback:
-            return self._search(name, rows, among, prepared, top, threshold)
-        first = staged(self._search(name, rows, among, prepared, max(12, 2 * top), 0.8 * threshold))  # read three times
+            return plain
+        try:
+            return self._search_twice(name, rows, among, prepared, top, threshold)
+        except Exception as e:  # a search must not fail because its expansion does
+            warnings.warn(f"without feedback: {str(e)[:300]}", stacklevel=2)
+            return plain
+
+    def _search_twice(self, name: str, rows: DataFrame, among: DataFrame | None, prepared: DataFrame, top: int, threshold: float) -> DataFrame:
+        """A first pass, its expansion, and a second pass before it. The first pass ever takes a few results more."""
+        least = 15 if not self.feedback.queries else 12
+        first = staged(self._search(name, rows, among, prepared, max(least, 2 * top), 0.8 * threshold))  # read three times
         began = time.perf_counter()
         expanded = staged(prf.expand(prepared, first.select("query_id", F.col("rank").alias("doc"), "content")))
         counts = expanded.agg(F.count("*"), F.count(F.when(F.size("terms") > 0, 1))).first()
         self.feedback.took(counts[0], counts[1], time.perf_counter() - began)
         again = expanded.where(F.size("terms") > 0).select("query_id", F.col("expanded").alias("text"))
-        second = self._search(name, rows, among, again, top, threshold)
+        second = staged(self._search(name, rows, among, again, top, threshold))
         key = ["relative_path", "start_line", "end_line"]
         merged = fusion.merge_ordered(second.select("query_id", *key, "rank"), first.select("query_id", *key, "rank"), key, top)
         both = second.withColumn("source", F.lit(0)).unionByName(first.withColumn("source", F.lit(1))).drop("rank")
         return merged.join(both, ["query_id", *key, "source"]).select("query_id", "rank", "score", "content", *key, "language")
 
+    def browse(self, codebase: str, queries: DataFrame, top: int = 20, least: float = 0.3) -> DataFrame:
+        """The `top` rows most similar to each query by cosine alone, of at least this, with their class (high, medium, low)."""
+        name = self.collection(codebase)
+        rows = self.store.read(name)
+        asked = embedding.embed(queries.select("query_id", "text"), self.settings.embedder, "text")
+        found = results_of(dense.top_k(rows.select("id", "vector"), asked, top, self.settings.embedder.dimension(), least), rows)
+        return found.select("query_id", "rank", "score", fusion.match_class(F.round(F.col("score") * 100)).alias("class"), "content", "relative_path", "start_line", "end_line", "language")
+
     def search_code(self, codebase: str, query: str, limit: int = LIMIT, extensions: list[str] = (), **flags) -> DataFrame:
         """Results for one query as a reader sees them: (rank, score, text), `limit` of them but no more than MOST_RESULTS.
 

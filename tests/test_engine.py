@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from quern.operators import bm25
+from quern.operators import bm25, prf
 from quern.operators.catalog import Store
 from quern.operators.chunking import Splitter
 from quern.operators.embedding import HashingEmbedder
@@ -160,6 +160,11 @@ def test_one_query_as_a_reader_sees_it(spark, tmp_path, monkeypatch):
         e.search_code("/repo", "x", extensions=["txt"])
     e.search_code("/repo", "read_file path", feedback=True).collect()
     assert not e.settings.feedback and e.feedback.stats()["total_queries"] == 1
+    seen = e.browse("/repo", spark.createDataFrame([(1, "read_file of a path")], "query_id long, text string")).orderBy("rank").collect()
+    assert seen[0].relative_path == "a.txt" and (seen[0]["class"], seen[0].score) == ("high", 1.0) and all(r.score >= 0.3 for r in seen)
+    monkeypatch.setattr(prf, "expand", lambda *a, **k: 1 / 0)
+    with pytest.warns(UserWarning, match="without feedback"):
+        assert e.search_code("/repo", "read_file path", 1, feedback=True).count() == 1
 
 
 def test_stream(spark, tmp_path):

@@ -273,6 +273,21 @@ def test_instances_and_what_is_done(spark, tmp_path):
     assert left("lines.jsonl") == ["b"] and left("whole.json") == ["c"]
 
 
+def test_nodes_of_a_tree(spark):
+    nodes = sync.merkle_nodes(sync.snapshot(spark.createDataFrame([("a", "x"), ("b", None)], "relative_path string, content string")))
+    assert sync.roots(nodes).count() == 1 and {r.data.split(":")[0] for r in sync.leaves(nodes).collect()} == {"a", "b"}
+    again = sync.from_lines(sync.to_lines(nodes).unionByName(spark.createDataFrame([("{",), (None,)], "value string")))
+    assert sorted(map(str, again.collect())) == sorted(map(str, nodes.select("id", "data", "parents", "children").collect()))
+
+
+def test_trees_and_recent_ones(spark):
+    df = spark.createDataFrame([("src/a/x.py",), ("src/b.py",), ("node_modules/z/q.js",), (".git/x",)], "relative_path string")
+    tree = reading.directory_tree(df, 3, reading.SKIPPED)
+    assert [r.line for r in reading.tree_text(tree).collect()] == ["src/ (2)", "  a/ (1)"]
+    repos = spark.createDataFrame([("r", "2025-01-01"), ("r", "2025-03-01"), ("s", "2025-02-01")], "id string, indexed_at string").withColumn("indexed_at", F.to_timestamp("indexed_at"))
+    assert [r.id for r in catalog.recent(repos).collect()] == ["r", "s"] and [r.id for r in catalog.recent(repos, since=F.to_timestamp(F.lit("2025-02-15"))).collect()] == ["r"]
+
+
 def test_once_keeps_one_row_of_a_key(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "w"), ("b", 5, None), (None, 9, "n"), ("c", None, None), ("c", None, None)], "id string, n int, t string")
     got = {tuple(r) for r in staging.once(rows, "id", lambda rest: F.max(F.struct(*rest))).collect()}
