@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.staging import staged
+
 
 def grep(files: DataFrame, pattern: str, key: str = "relative_path", include: str | None = None) -> DataFrame:
     """(key, line_number from 1, line_content, match) of every line that matches, each line by itself (so ^ and $ are its ends);
@@ -33,14 +35,8 @@ def list_directory(files: DataFrame, directory: str = "") -> DataFrame:
     return inside.select(F.regexp_extract(rest, "^[^/]+", 0).alias("name"), kind.alias("kind")).distinct().orderBy("kind", F.lower("name"), "name")
 
 
-#: Directories that a tree does not show.
-SKIPPED = ["node_modules", "__pycache__", "venv", "env", "dist", "build"]
-
-
-def directory_tree(files: DataFrame, depth: int = 3, skipped: list[str] = ()) -> DataFrame:
-    """(path, level, files): each directory down to a depth, and how many files lie below it. Hidden ones are left out, and `skipped` ones."""
-    if skipped:
-        files = files.where(~F.arrays_overlap(F.split(F.regexp_replace("relative_path", "/?[^/]*$", ""), "/"), F.array(*map(F.lit, skipped))))
+def directory_tree(files: DataFrame, depth: int = 3) -> DataFrame:
+    """(path, level, files): each directory down to a depth, and how many files lie below it. Hidden ones are left out."""
     parts = F.split("relative_path", "/")
     levels = F.sequence(F.lit(1), F.least(F.lit(depth), F.size(parts) - 1))
     prefixes = F.when(F.size(parts) > 1, F.transform(levels, lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("path"), i.alias("level"))))
@@ -52,10 +48,35 @@ def directory_tree(files: DataFrame, depth: int = 3, skipped: list[str] = ()) ->
     )
 
 
-def tree_text(tree: DataFrame) -> DataFrame:
-    """(path, line) of a directory_tree as a reader sees it, in the order of its paths: names indented by their level."""
-    name = F.regexp_extract("path", "[^/]+$", 0)
-    return tree.select("path", F.concat(F.repeat(F.lit("  "), F.col("level").cast("int") - 1), name, F.lit("/ ("), F.col("files").cast("string"), F.lit(")")).alias("line")).orderBy(F.split("path", "/"))
+#: Names that a tree does not show, and hidden ones that it does.
+SKIPPED = ["node_modules", "__pycache__", ".git", ".svn", ".hg", "venv", "env"]
+SHOWN = [".env", ".gitignore", ".gitattributes"]
+
+
+def tree(files: DataFrame, depth: int = 3) -> DataFrame:
+    """(path, line) of directories and files down to a depth, as a reader sees them, in order: each with its branch before its name.
+
+    The last entry of a directory has the closing branch; entries that are not shown count in that, as they do in the directory. What lies below
+    one that is not shown is not shown either.
+    """
+    parts = F.split("relative_path", "/")
+    steps = F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(depth), F.size(parts))),
+        lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("path"), F.array_join(F.slice(parts, F.lit(1), i - 1), "/").alias("parent"), F.element_at(parts, i.cast("int")).alias("name"), i.alias("level"), (i < F.size(parts)).alias("is_directory")),
+    )
+    entries = files.where("relative_path is not null and relative_path <> ''").select(F.explode(steps).alias("e")).select("e.*")
+    entries = entries.groupBy("path", "parent", "name", "level").agg(F.max("is_directory").alias("is_directory"))
+    last = entries.groupBy("parent").agg(F.max("name").alias("last"))
+    shown = ~F.col("name").isin(*SKIPPED) & (~F.col("name").startswith(".") | F.col("name").isin(*SHOWN))
+    entries = staged(entries.join(last, "parent").where(shown).withColumn("is_last", F.col("name") == F.col("last")))
+    found = entries.where("level = 1").withColumn("before", F.lit(""))
+    above = found
+    for level in range(2, depth + 1):
+        inside = above.where("is_directory").select(F.col("path").alias("parent"), F.concat("before", F.when(F.col("is_last"), "    ").otherwise("│   ")).alias("before"))
+        above = entries.where(F.col("level") == level).join(inside, "parent").select(*entries.columns, "before")
+        found = found.unionByName(above)
+    line = F.concat("before", F.when(F.col("is_last"), "└── ").otherwise("├── "), "name", F.when(F.col("is_directory"), "/").otherwise(""))
+    return found.select("path", line.alias("line")).orderBy(F.split("path", "/"))
 
 
 def formatted(results: DataFrame, most: int = 5000) -> DataFrame:

@@ -418,6 +418,10 @@ def directory_tree(spark, d):
     return reading.directory_tree(table(spark, d, "chunks").where("relative_path is not null").select("relative_path"))
 
 
+def tree_lines(spark, d):
+    return reading.tree(table(spark, d, "chunks").select("relative_path"), 2)
+
+
 def trimmed_lengths(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.length(trim_all(F.col("text"))).alias("n"))
 
@@ -431,7 +435,7 @@ def queries():
         snapshot_hashes, snapshot_diff, merkle_root, merkle_diff, merkle_nodes, reindex_delta, targeted_update, index_progress,
         catalog_latest_state, catalog_active, catalog_reconcile, catalog_status, recent_repos, delete_by_ids, lookup_activity,
         retrieval_metrics, run_aggregates, relative_change, patch_files, patch_subset, edited_paths, token_totals, tool_counts, test_paths, truncated_lines, edit_calls, edit_places, edit_diffs,
-        grep_lines, grep_anchored, chunk_line_estimate, read_slice, list_directory, directory_tree, trimmed_lengths,
+        grep_lines, grep_anchored, chunk_line_estimate, read_slice, list_directory, directory_tree, tree_lines, trimmed_lengths,
     )
     return {f.__name__: f for f in each}
 
@@ -623,6 +627,12 @@ FROM documents WHERE text IS NOT NULL""",
         "list_directory": "SELECT DISTINCT regexp_extract(substr(relative_path, 5), '^[^/]+') AS name, CASE WHEN contains(substr(relative_path, 5), '/') THEN 'directory' ELSE 'file' END AS kind FROM chunks WHERE starts_with(relative_path, 'src/')",
         "directory_tree": f"""WITH {PATHS}, s AS (SELECT string_split(relative_path, '/') AS x FROM p WHERE NOT regexp_matches(relative_path, '(^|/)\\.')), e AS (SELECT x, unnest(range(1, least(3, len(x) - 1) + 1)) AS level FROM s WHERE len(x) > 1)
 SELECT array_to_string(x[1:level], '/') AS path, CAST(level AS INTEGER) AS level, count(*) AS files FROM e GROUP BY ALL""",
+        "tree_lines": f"""WITH {PATHS}, s AS (SELECT string_split(relative_path, '/') AS x FROM p),
+e AS (SELECT DISTINCT x[1] AS path, '' AS parent, x[1] AS name, 1 AS level FROM s UNION SELECT DISTINCT x[1] || '/' || x[2], x[1], x[2], 2 FROM s WHERE len(x) > 1),
+k AS (SELECT path, parent, name, level, path IN (SELECT x[1] FROM s WHERE len(x) > 1 UNION SELECT x[1] || '/' || x[2] FROM s WHERE len(x) > 2) AS is_dir, name = max(name) OVER (PARTITION BY parent) AS is_last FROM e),
+v AS (SELECT * FROM k WHERE name NOT IN ({', '.join(_sq(x) for x in reading.SKIPPED)}) AND (NOT starts_with(name, '.') OR name IN ({', '.join(_sq(x) for x in reading.SHOWN)})))
+SELECT v.path, concat(CASE WHEN v.level = 1 THEN '' WHEN u.is_last THEN '    ' ELSE '│   ' END, CASE WHEN v.is_last THEN '└── ' ELSE '├── ' END, v.name, CASE WHEN v.is_dir THEN '/' ELSE '' END) AS line
+FROM v LEFT JOIN v u ON v.parent = u.path WHERE v.level = 1 OR u.path IS NOT NULL""",
         "trimmed_lengths": f"SELECT doc_id, length({TRIMMED('text')}) AS n FROM documents WHERE text IS NOT NULL",
     }
 

@@ -281,9 +281,10 @@ def test_nodes_of_a_tree(spark):
 
 
 def test_trees_and_recent_ones(spark):
-    df = spark.createDataFrame([("src/a/x.py",), ("src/b.py",), ("node_modules/z/q.js",), (".git/x",)], "relative_path string")
-    tree = reading.directory_tree(df, 3, reading.SKIPPED)
-    assert [r.line for r in reading.tree_text(tree).collect()] == ["src/ (2)", "  a/ (1)"]
+    names = ["src/a/x.py", "src/a/deep/y.py", "src/b.py", "node_modules/z/q.js", ".git/x", ".env", "top.md", "zz/.hidden", "zz/venv/x.py", "zz/a.py", None, ""]
+    df = spark.createDataFrame([(n,) for n in names], "relative_path string")
+    assert [r.line for r in reading.tree(df).collect()] == ["├── .env", "├── src/", "│   ├── a/", "│   │   ├── deep/", "│   │   └── x.py", "│   └── b.py", "├── top.md", "└── zz/", "    ├── a.py"]
+    assert reading.tree(df.limit(0)).count() == 0 and [r.line for r in reading.tree(df, 1).collect()] == ["├── .env", "├── src/", "├── top.md", "└── zz/"]
     repos = spark.createDataFrame([("r", "2025-01-01"), ("r", "2025-03-01"), ("s", "2025-02-01")], "id string, indexed_at string").withColumn("indexed_at", F.to_timestamp("indexed_at"))
     assert [r.id for r in catalog.recent(repos).collect()] == ["r", "s"] and [r.id for r in catalog.recent(repos, since=F.to_timestamp(F.lit("2025-02-15"))).collect()] == ["r"]
 
