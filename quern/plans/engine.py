@@ -161,7 +161,7 @@ class Engine:
 
     def _posted(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(rows with the number of their terms, their postings laid out by term)."""
-        found, _ = bm25.postings(rows.select("id", "content", "relative_path"), "relative_path")
+        found = bm25.postings(rows.select("id", "content", "relative_path"), "relative_path")
         laid = found.repartitionByRange("term").sortWithinPartitions("term")
         return rows.withColumn("n_terms", F.size(bm25.terms(F.coalesce("content", F.lit(""))))), laid
 

@@ -27,11 +27,12 @@ _indexes: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The corpus's postings, laid out by term, and their statistics: written once a session, as the engine writes them when it indexes."""
+    """The corpus's postings, by term within each batch of documents, and their statistics: written once a session, where the contents lie."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _indexes:
-        found, lengths = bm25.postings(_rows(spark, d).select("id", "content"))
-        _indexes[key] = staged(found.repartitionByRange("term").sortWithinPartitions("term")), staged(bm25.statistics(lengths))
+        rows = _rows(spark, d).select("id", "content")
+        found = bm25.postings(rows)
+        _indexes[key] = found, staged(bm25.statistics_of(found, rows))
     return _indexes[key]
 
 

@@ -1,5 +1,6 @@
 """Operators on small tables: invariants and edge cases that the SQL comparison does not reach."""
 
+import math
 import random
 
 import numpy as np
@@ -73,6 +74,25 @@ def test_bm25_edges(spark):
     assert [(r.query_id, r.id) for r in bm25.top_k(other, q, 5).orderBy("query_id").collect()] == [(1, "a"), (2, "b"), (3, "c")]
 
 
+def test_bm25_scores_where_the_documents_lie(spark):
+    """No pair of a query and a document is a row, whatever the number of both; words that a task's documents lack add nothing."""
+    words = ["fox", "hen", "owl", "cat", "elk", "bee"]
+    docs = {f"d{i:03d}": [words[j] for j in range(6) if i % (j + 2) == 0] + ["the"] * (i % 5) for i in range(300)}
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "id string, content string")
+    asks = {q: ["the", words[q % 6], "yak" if q % 2 else words[(q + 1) % 6], f"d{q}"] for q in range(40)}
+    found = bm25.top_k(rows, spark.createDataFrame([(q, " ".join(t)) for q, t in asks.items()], "query_id long, text string"), 4)
+    avgdl = sum(map(len, docs.values())) / 300
+    df = {w: sum(w in t for t in docs.values()) for w in ["the", *words]}
+
+    def score(q, t):
+        return round(sum(math.log(1 + (300 - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / avgdl)) for w in set(asks[q]) if w in t), 6)
+
+    want = [(q, i, score(q, docs[i])) for q in asks for i in sorted((i for i in docs if set(asks[q]) & set(docs[i])), key=lambda i: (-score(q, docs[i]), i))[:4]]
+    assert [(r.query_id, r.id, r.score) for r in found.orderBy("query_id", "rank").collect()] == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" in plan and "sum(" not in plan  # the pairs' sums were rows before
+
+
 def test_rerank_neutral_on_failure(spark):
     df = spark.createDataFrame([(1, "a", "q", "doc a", 1), (1, "b", "q", "boom", 2), (1, "c", "q", None, 3)], "query_id long, id string, text string, doc string, rank int")
 
