@@ -63,6 +63,24 @@ def test_dense_keeps_all_ties_in_reach(spark):
     assert [r.id for r in dense.top_k(rows, q, 3, 2).orderBy("rank").collect()] == ["r000", "r001", "r002"]
 
 
+def test_dense_is_exact_over_blocks_and_shuffles_once(spark, monkeypatch):
+    """Bounds from groups of rows and from the blocks before lose nothing, ties at the edge and tiny values included; only k a query and task are shuffled."""
+    r = np.random.default_rng(5)
+    x = r.integers(-2, 3, (3000, 4)).astype(float)  # many equal directions
+    x[:10] = 1e-200, 2e-200, 0, 0
+    q = r.normal(size=(30, 4))
+    monkeypatch.setattr(dense, "ROWS_AT_ONCE", 700)
+    monkeypatch.setattr(dense, "SCORES_AT_ONCE", 9000)
+    rows = spark.createDataFrame([(f"r{i:04d}", v) for i, v in enumerate(x.tolist())], "id string, vector array<double>").repartition(3)
+    found = dense.top_k(rows, spark.createDataFrame([(i, v) for i, v in enumerate(q.tolist())], "query_id long, vector array<double>"), 7, 4)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    unit = lambda y: y / np.abs(y).max(1, keepdims=True) / np.linalg.norm(y / np.abs(y).max(1, keepdims=True), axis=1, keepdims=True)
+    ids = np.flatnonzero(x.any(1))
+    s = np.round(unit(q) @ unit(x[ids]).T, 6)
+    want = [(i, f"r{ids[j]:04d}") for i in range(30) for j in np.lexsort((ids, -s[i]))[:7]]
+    assert [(f.query_id, f.id) for f in found.orderBy("query_id", "rank").collect()] == want
+
+
 def test_bm25_edges(spark):
     rows = spark.createDataFrame([("a", "Red fox"), ("b", "red red hen"), ("c", None), ("d", "")], "id string, content string")
     q = spark.createDataFrame([(1, "RED"), (2, None), (3, "!!"), (4, "fox red red")], "query_id long, text string")
